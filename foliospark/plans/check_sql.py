@@ -50,10 +50,10 @@ def row_walk(name: str, source: str, key: str, cols: list[str], order: str, rtl:
   SELECT {key}, rk, [{{'y1': r.y1, 'y2': r.y2}}] AS heads, [{item}, 'rk': r.rk, 'row_no': CAST(1 AS BIGINT)}}] AS done
   FROM {name}_r r WHERE rk = 1
   UNION ALL
-  SELECT {key}, rk, CASE WHEN at IS NULL THEN list_append(heads, {{'y1': y1, 'y2': y2}}) ELSE heads END,
-         list_append(done, {struct('s', cols)[:-1]}, 'rk': s.rk, 'row_no': CAST(coalesce(at, len(heads) + 1) AS BIGINT)}})
+  SELECT {key}, rk, CASE WHEN hit_no IS NULL THEN list_append(heads, {{'y1': y1, 'y2': y2}}) ELSE heads END,
+         list_append(done, {struct('s', cols)[:-1]}, 'rk': s.rk, 'row_no': CAST(coalesce(hit_no, len(heads) + 1) AS BIGINT)}})
   FROM (SELECT r.*, f.heads, f.done,
-               list_filter(range(1, len(f.heads) + 1), lambda i: {over})[1] AS at
+               list_filter(range(1, len(f.heads) + 1), lambda i: {over})[1] AS hit_no
         FROM {name}_f f JOIN {name}_r r ON r.{key} = f.{key} AND r.rk = f.rk + 1) s),
 {name}_l AS (
   SELECT {key}, done FROM {name}_f QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY rk DESC) = 1),
