@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.skew import in_parts, names
 
@@ -57,7 +58,7 @@ def text_or_fallback(local: Column | str, cloud: Column | str) -> tuple[Column,
 MISREAD_AS = ("latin-1", "cp1252", "cp1251")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def text_variants(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The trimmed text, then every different reading of its bytes as UTF-8."""
 

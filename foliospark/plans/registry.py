@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliospark.plans import detection, ordering
+from foliospark.plans import cataloguing, detection, ordering
 
-_AREAS = (ordering, detection)
+_AREAS = (ordering, detection, cataloguing)
 
 QUERIES = {name: fn for area in _AREAS for name, fn in area.QUERIES.items()}
 ORACLE = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}

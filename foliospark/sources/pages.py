@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliospark.functions.names import ARCHIVE_EXTENSIONS, PAGE_EXTENSIONS, base_name, file_ext, file_stem, source_kind
+from foliospark.functions.names import ARCHIVE_EXTENSIONS, PAGE_EXTENSIONS, base_name, file_stem, source_kind
 from foliospark.skew import number_rows
 
 
@@ -22,8 +23,9 @@ def scan_page_folder(spark: SparkSession, path: str, *, unreadable: str = "skip"
 
     Undecodable files are skipped, or kept with a null image (``unreadable="keep"``).
     """
-    raw = spark.read.format("image").option("dropInvalid", unreadable == "skip").load(path)
-    pages = raw.select(F.col("image.origin").alias("_path"), "image").where(file_ext("_path").isin(*PAGE_EXTENSIONS))
+    reader = spark.read.format("image").option("dropInvalid", unreadable == "skip")
+    raw = reader.option("pathGlobFilter", _any_case(PAGE_EXTENSIONS)).load(path)
+    pages = raw.select(F.col("image.origin").alias("_path"), "image")
     pages = pages.select(_folder("_path").alias("source_id"), base_name("_path").alias("name"),
                          F.when(F.col("image.height") > 0, F.col("image")).alias("image"))
     # Numbering needs names only; the image bytes stay out of its shuffle.
@@ -43,7 +45,12 @@ def scan_single_image(spark: SparkSession, path: str) -> DataFrame:
                       F.when(bad, F.concat(F.lit("cannot decode image: "), base_name("image.origin"))).alias("error"))
 
 
-@F.udtf(returnType="entry string, name string, page_num int, data binary")
+ENTRY_TYPE = T.StructType([
+    T.StructField("entry", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("page_num", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+@F.udtf(returnType=ENTRY_TYPE)
 class ZipEntries:
     """Page entries of one archive in order of their full names; ``name`` is unique per archive."""
 
@@ -69,10 +76,15 @@ def zip_entries(archives: DataFrame) -> DataFrame:
     return archives.lateralJoin(ZipEntries(F.col("content").outer())).drop("content")
 
 
+def _any_case(extensions: Sequence[str]) -> str:
+    """File glob for the extensions in any case, so other files are never opened."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Archive files below ``path`` as ``path, content``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.where(file_ext("path").isin(*ARCHIVE_EXTENSIONS)).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return files.option("pathGlobFilter", _any_case(ARCHIVE_EXTENSIONS)).load(path).select("path", "content")
 
 
 def expand_archives(archives: DataFrame, *, unique_names: bool = False) -> DataFrame:
@@ -96,9 +108,14 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Pages are ``source_id, page_num, name, data`` with undecoded bytes; other files are set aside.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("source_kind", source_kind("path"))
-    loose = files.where("source_kind = 'file'").select("path", "content")
+    def files(kind: str) -> DataFrame:
+        reader = spark.read.format("binaryFile")
+        if kind != "unsupported":
+            reader = reader.option("pathGlobFilter", _any_case(PAGE_EXTENSIONS if kind == "file" else ARCHIVE_EXTENSIONS))
+        return reader.load(path).where(source_kind("path") == kind)
+
+    loose = files("file").select("path", "content")
     singles = loose.select(F.col("path").alias("source_id"), F.lit(1).alias("page_num"), base_name("path").alias("name"),
                            F.col("content").alias("data"))
-    packed = expand_archives(files.where("source_kind = 'archive'").select("path", "content"))
-    return singles.unionByName(packed), files.where("source_kind = 'unsupported'").select("path", "length")
+    packed = expand_archives(files("archive").select("path", "content"))
+    return singles.unionByName(packed), files("unsupported").select("path", "length")
