@@ -144,6 +144,6 @@ def in_parts(
     if hot is None:
         return df.withColumn(name, F.lit(0).cast("long"))
     cold, warm = split_hot(df, by, hot)
-    ranked = number_rows(warm, by, order, "_place")
-    warm = ranked.withColumn(name, F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")
+    ranked = number_rows(warm, by, order, "_nth_row")
+    warm = ranked.withColumn(name, F.floor((F.col("_nth_row") - 1) / size).cast("long")).drop("_nth_row")
     return cold.withColumn(name, F.lit(0).cast("long")).unionByName(warm)
