@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.geometry import CORNERS, box_area, box_iou, box_of, box_overlap_min, boxes_meet, half_up
+from foliospark.functions.geometry import CORNERS, box_area, box_iou, box_overlap_min, boxes_meet, half_up
 from foliospark.operators.order import assign_reading_order, bubble_numbers, nth_free
 from foliospark.operators.suppress import FOLD_LIMIT, greedy_keep, iou_above
-from foliospark.skew import GROUP_LIMIT, hot_keys, names, number_rows, same_key
+from foliospark.skew import GROUP_LIMIT, hot_keys, names, needed_limit, number_rows, same_key, split_hot
 
 # Bubble types and merge modes.
 BUBBLE_TYPES = ("speech", "thought", "sfx", "narration")
 MERGE_MODES = ("append", "replace")
 
+# Boxes of one page that are paired without a grid.
+PAIR_LIMIT = 1_000
+
 
 def tensor_layout(raw: Column, num_classes: int = 1) -> Column:
     """``rows`` for N×6, ``single`` for 5×N with one class, ``classes`` for (4+C)×N, else null."""
@@ -110,7 +113,7 @@ def rescale_clip(det: DataFrame, pages: DataFrame, *, input_size: int = 640, pag
 
 def filter_min_area(det: DataFrame, min_area: int = 32) -> DataFrame:
     """Drop boxes whose non-negative width times height is below ``min_area``."""
-    return det.where(box_area(box_of()) >= min_area)
+    return det.where(box_area() >= min_area)
 
 
 def normalize_bbox(df: DataFrame, bbox: str = "bbox") -> DataFrame:
@@ -186,7 +189,7 @@ def snap_to_edges(
     Candidates are the page borders and the edges of the other boxes; the leading and the trailing
     edge of the moved box are both tried.  Nearest first, then leading, then the smaller coordinate.
     Edges are reduced to distinct coordinates per page before they meet the moved boxes, so a
-    crowded page costs at most 2·threshold+1 candidates per edge.
+    crowded page costs a bounded number of candidates per edge.
     """
     def edges(axis: str) -> DataFrame:
         size = "w" if axis == "x" else "h"
@@ -197,10 +200,12 @@ def snap_to_edges(
         return own.unionByName(border)
 
     # Two different owners (or the border) are enough to know that somebody else has the edge.
+    # Wide bands, so that most probes fall into a single one.
+    band = 8 * (threshold + 1)
     candidates = (edges("x").unionByName(edges("y")).groupBy(page, "_axis", "_at")
                   .agg(F.min("_owner").alias("_lo"), F.max("_owner").alias("_hi"),
                        F.max(F.col("_owner").isNull()).alias("_border"))
-                  .withColumn("_band", F.floor(F.col("_at") / (threshold + 1)).cast("long")))
+                  .withColumn("_band", F.floor(F.col("_at") / band).cast("long")))
 
     def probe(axis: str, kind: int) -> Column:
         edge = F.col(f"{axis}2") if kind else F.col(f"{axis}1")
@@ -209,8 +214,8 @@ def snap_to_edges(
 
     probes = (moved.select(page, box, F.explode(F.array(*[probe(a, k) for a in "xy" for k in (0, 1)])).alias("_p"))
               .select(page, box, "_p.*"))
-    near = F.floor(F.col("_edge") / (threshold + 1)).cast("long")
-    probes = probes.withColumn("_band", F.explode(F.sequence(near - 1, near + 1)))
+    first, last = (F.floor((F.col("_edge") + off) / band).cast("long") for off in (-threshold, threshold))
+    probes = probes.withColumn("_band", F.explode(F.sequence(first, last)))
     gap = F.abs(F.col("_at") - F.col("_edge"))
     other = F.col("_border") | (F.col("_lo") != F.col(box)) | (F.col("_hi") != F.col(box))
     origin = F.when(F.col("_kind") == 0, F.col("_at")).otherwise(F.col("_at") - F.col("_size"))
@@ -232,28 +237,37 @@ def _gridded(df: DataFrame, cell: int) -> DataFrame:
 
 def overlap_pairs(
     det: DataFrame, *, metric: str = "iou", threshold: float = 0.45, by: str = "page_id", id: str = "det_id",
-    cell: int = 512,
+    limit: int | None = PAIR_LIMIT, cell: int = 512,
 ) -> DataFrame:
     """Box pairs of a page whose overlap (``iou``, or ``min`` for the smaller area) exceeds ``threshold``.
 
-    Boxes only meet inside grid cells, and a pair is reported by the one cell that holds the corner
-    of its intersection, so neither all pairs of a page nor a de-duplication is needed.
+    On pages above ``limit`` boxes only boxes of one grid cell meet, and a pair is reported by the
+    cell that holds the corner of its intersection, so neither all pairs of the page nor a
+    de-duplication is needed.
     """
     measure = {"iou": box_iou, "min": box_overlap_min}[metric]
+    def side(df: DataFrame, name: str, *cells: str) -> DataFrame:
+        return df.select(by, F.col(id).alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in CORNERS], *cells)
+
+    def met(slim: DataFrame, *cells: str) -> DataFrame:
+        joined = side(slim, "a", *cells).join(side(slim, "b", *cells), [by, *cells])
+        return joined.where((F.col("a_id") < F.col("b_id")) & boxes_meet("a_", "b_"))
+
     slim = det.select(by, id, *CORNERS)
-    a = _gridded(slim, cell).select(by, F.col(id).alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in CORNERS], "_gx", "_gy")
-    b = _gridded(slim, cell).select(by, F.col(id).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in CORNERS], "_gx", "_gy")
-    left, right = box_of(prefix="a_"), box_of(prefix="b_")
-    home = [F.col(f"_g{x}") == F.floor(F.greatest(left(f"{x}1"), right(f"{x}1")) / cell) for x in "xy"]
-    pairs = a.join(b, [by, "_gx", "_gy"]).where(
-        (F.col("a_id") < F.col("b_id")) & boxes_meet(left, right) & home[0] & home[1])
-    return (pairs.withColumn("overlap", measure(left, right)).where(F.col("overlap") > threshold)
+    hot = hot_keys(slim, [by], limit)
+    if hot is None:
+        pairs = met(slim)
+    else:
+        cold, warm = split_hot(slim, [by], hot)
+        home = [F.col(f"_g{x}") == F.floor(F.greatest(f"a_{x}1", f"b_{x}1") / cell) for x in "xy"]
+        pairs = met(cold).unionByName(met(_gridded(warm, cell), "_gx", "_gy").where(home[0] & home[1]).drop("_gx", "_gy"))
+    return (pairs.withColumn("overlap", measure("a_", "b_")).where(F.col("overlap") > threshold)
             .select(by, "a_id", "b_id", "overlap"))
 
 
 def new_boxes_only(
     new: DataFrame, existing: DataFrame, *, iou: float = 0.45, by: str | Sequence[str] = "panel_id", id: str = "pos",
-    limit: int = FOLD_LIMIT, cell: int = 256,
+    limit: int | None = FOLD_LIMIT, cell: int = 256,
 ) -> DataFrame:
     """Drop new boxes whose IoU with an existing box of the panel reaches ``iou``."""
     by = names(by)
@@ -265,11 +279,11 @@ def new_boxes_only(
     hot = hot_keys(existing, by, limit)
     if hot is None:
         old = other(existing.select(*by, *CORNERS))
-        cond = same_key(new, by, old, [f"_e_{c}" for c in by]) & clash(box_of(prefix="_e_"), box_of())
+        cond = same_key(new, by, old, [f"_e_{c}" for c in by]) & F.expr(clash("_e_", ""))
         return new.join(old, cond, "left_anti")
     at = [*by, "_gx", "_gy"]
     near, old = _gridded(new, cell), other(_gridded(existing.select(*by, *CORNERS), cell))
-    cond = same_key(near, at, old, [f"_e_{c}" for c in at]) & clash(box_of(prefix="_e_"), box_of())
+    cond = same_key(near, at, old, [f"_e_{c}" for c in at]) & F.expr(clash("_e_", ""))
     return new.join(near.join(old, cond, "left_semi").select(*by, id).distinct(), [*by, id], "left_anti")
 
 
@@ -281,7 +295,7 @@ def append_dedup(
     by: str = "panel_id",
     mode: str = "append",
     reorder: bool = False,
-    limit: int = FOLD_LIMIT,
+    limit: int | None = FOLD_LIMIT,
 ) -> DataFrame:
     """Merge newly detected boxes into the bubbles of a panel.
 
@@ -299,21 +313,23 @@ def append_dedup(
     if mode != "append":
         raise ValueError("mode: append | replace")
     old = existing.select(*cols)
+    # Groups of the merged list are at most twice as large as the larger of its two parts.
+    rank_limit = needed_limit(old, by, GROUP_LIMIT) or needed_limit(fresh, by, GROUP_LIMIT)
     both = (old.select(by, "pos", *CORNERS).withColumn("_new", F.lit(False))
             .unionByName(fresh.withColumn("_new", F.lit(True))).withColumn("_fixed", ~F.col("_new")))
     reach = 3 if iou >= 0.25 else None
     kept = greedy_keep(both, by, ["_new", "pos", *CORNERS], iou_above(iou, inclusive=True), pinned="_fixed",
                        reach=reach, limit=limit)
-    added = number_rows(kept.where("_new"), by, ["pos", *CORNERS], "_nth").select(by, "_nth", *CORNERS)
+    added = number_rows(kept.where("_new"), by, ["pos", *CORNERS], "_nth", limit=rank_limit).select(by, "_nth", *CORNERS)
     size = old.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
     added = added.join(size, by, "left").withColumn("_start", F.coalesce("_size", F.lit(0)) + 1).drop("_size")
     used = bubble_numbers(old, by, "bubble_id").join(size, by).withColumn("_start", F.col("_size") + 1)
-    named = nth_free(added, used, by, nth="_nth", number="_n", start="_start", name="_number", limit=GROUP_LIMIT)
+    named = nth_free(added, used, by, nth="_nth", number="_n", start="_start", name="_number", limit=rank_limit)
     named = named.select(
         by, F.concat(F.col(by).cast("string"), F.lit("_b"), F.col("_number").cast("string")).alias("bubble_id"),
         (F.col("_start") + F.col("_nth") - 1).cast("long").alias("pos"), *CORNERS,
         (F.col("_start") + F.col("_nth") - 1).cast("long").alias("reading_order"))
     # Existing bubbles count from 1 in list order, so appended ones follow on.
-    listed = number_rows(old.withColumnRenamed("pos", "_pos"), by, ["_pos"], "pos").select(*cols)
+    listed = number_rows(old.withColumnRenamed("pos", "_pos"), by, ["_pos"], "pos", limit=rank_limit).select(*cols)
     out = listed.withColumn("reading_order", F.col("reading_order").cast("long")).unionByName(named)
     return assign_reading_order(out, by=by, limit=limit) if reorder else out

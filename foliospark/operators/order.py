@@ -7,10 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.geometry import box_of, row_overlap
+from foliospark.functions.geometry import row_overlap_sql
 from foliospark.functions.names import panel_id
 from foliospark.operators.suppress import FOLD_LIMIT, ranked_items
-from foliospark.skew import GROUP_LIMIT, as_columns, hot_keys, names, number_rows, prefix_scan, split_hot
+from foliospark.skew import (
+    GROUP_LIMIT,
+    as_columns,
+    hot_keys,
+    names,
+    needed_limit,
+    number_rows,
+    prefix_scan,
+    split_hot,
+)
 
 _POSITION = ("x1", "y1", "x2", "y2")
 
@@ -22,7 +31,7 @@ def cluster_rows(
     rtl: bool = False,
     overlap: float = 0.4,
     tie: Sequence[str] = _POSITION,
-    limit: int = FOLD_LIMIT,
+    limit: int | None = FOLD_LIMIT,
 ) -> DataFrame:
     """Reading order of the boxes of a page: adds ``row_no`` and ``reading_order``.
 
@@ -40,44 +49,41 @@ def cluster_rows(
     return _row_fold(cold, by, rtl, overlap, tie).unionByName(row_settle(warm, by, rtl, overlap, tie))
 
 
-def rows_of_items(items: Column, rtl: bool, overlap: float, payload: Sequence[str]) -> Column:
-    """Array of (row_no, side, seq, payload…) for one array of boxes in centre order."""
-    side = (lambda b: -b.getField("x1")) if rtl else (lambda b: b.getField("x1"))
+def rows_of_items(items: str, rtl: bool, overlap: float, payload: Sequence[str]) -> Column:
+    """Array of (row_no, _side, _seq, payload…), in reading order, for an array of boxes in centre order.
 
-    def placed(row: Column, seq: Column, b: Column) -> Column:
-        return F.struct(row.cast("long").alias("row_no"), side(b).alias("_side"), seq.alias("_seq"),
-                        *[b.getField(c).alias(c) for c in payload])
-
-    def head(b: Column) -> Column:
-        return F.struct(b.getField("y1").alias("y1"), b.getField("y2").alias("y2"))
+    The state is the list of first members (``heads``) and the boxes placed so far (``out``).  A
+    one-element array stands in for a local variable, so the search for a row runs once per box.
+    """
+    side = "-b.x1" if rtl else "b.x1"
+    rest = ", ".join(f"'{c}', b.`{c}`" for c in payload)
+    head = "named_struct('y1', b.y1, 'y2', b.y2)"
 
-    def step(acc: Column, b: Column) -> Column:
-        heads, out = acc.getField("heads"), acc.getField("out")
-        found = F.array_position(F.transform(heads, lambda r: row_overlap(box_of(r), box_of(b), overlap)), True)
-        # A one-element array stands in for a local variable, so the search runs once per box.
-        states = F.transform(F.array(found), lambda at: F.struct(
-            F.when(at > 0, heads).otherwise(F.concat(heads, F.array(head(b)))).alias("heads"),
-            F.concat(out, F.array(placed(F.when(at > 0, at).otherwise(F.size(heads) + 1), F.size(out), b))).alias("out"),
-        ))
-        return F.element_at(states, 1)
+    def placed(row: str, seq: str) -> str:
+        return f"named_struct('row_no', {row}, '_side', {side}, '_seq', {seq}, {rest})"
 
-    start = F.slice(items, 1, 1)
-    state = F.struct(F.transform(start, head).alias("heads"),
-                     F.transform(start, lambda b: placed(F.lit(1), F.lit(0), b)).alias("out"))
-    return F.aggregate(F.slice(items, 2, F.size(items)), state, step, lambda acc: F.sort_array(acc.getField("out")))
+    found = f"array_position(transform(acc.heads, r -> {row_overlap_sql('r.', 'b.', overlap)}), true)"
+    return F.expr(f"""aggregate(
+        slice({items}, 2, size({items})),
+        named_struct('heads', transform(slice({items}, 1, 1), b -> {head}),
+                     'out', transform(slice({items}, 1, 1), b -> {placed('1L', '0')})),
+        (acc, b) -> element_at(transform(array({found}), row -> named_struct(
+            'heads', CASE WHEN row > 0 THEN acc.heads ELSE concat(acc.heads, array({head})) END,
+            'out', concat(acc.out, array({placed('CASE WHEN row > 0 THEN row ELSE size(acc.heads) + 1L END', 'size(acc.out)')})))), 1),
+        acc -> sort_array(acc.out))""")
 
 
 def _row_fold(det, by, rtl, overlap, tie) -> DataFrame:
     payload = [c for c in det.columns if c not in by]
     centre = (F.col("y1") + F.col("y2")) / 2
     items = ranked_items(det, by, [centre, *tie])
-    rows = rows_of_items(F.col("_items"), rtl, overlap, payload)
+    rows = rows_of_items("_items", rtl, overlap, payload)
     read = items.select(*by, F.posexplode_outer(rows).alias("_pos", "_box"))
     return read.select(*[F.col(c) if c in by else F.col(f"_box.{c}").alias(c) for c in det.columns],
                        F.col("_box.row_no").alias("row_no"), (F.col("_pos") + 1).cast("long").alias("reading_order"))
 
 
-def sort_boxes(det: DataFrame, *, by: str | Sequence[str] = "page_id", limit: int = GROUP_LIMIT) -> DataFrame:
+def sort_boxes(det: DataFrame, *, by: str | Sequence[str] = "page_id", limit: int | None = GROUP_LIMIT) -> DataFrame:
     """Position of each box top to bottom, then left to right, as ``box_no``."""
     return number_rows(det, by, ["y1", "x1", "x2", "y2"], "box_no", limit=limit)
 
@@ -96,7 +102,7 @@ def limit_n(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
 
 
 def number_pages(
-    pages: DataFrame, *, source: str | Sequence[str] = "source_id", name: str = "name", limit: int = GROUP_LIMIT
+    pages: DataFrame, *, source: str | Sequence[str] = "source_id", name: str = "name", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """1-based ``page_num`` by name inside a source."""
     return number_rows(pages, source, [name], "page_num", limit=limit)
@@ -109,13 +115,14 @@ def global_order(
     source: str | Sequence[str] = "source_id",
     page: str = "page_id",
     name: str = "name",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Running panel number over a source: pages in order, panels by ``reading_order`` inside a page.
 
     The prefix sum runs over one count per page, not over panels, and pages without panels add nothing.
     """
     source = names(source)
+    limit = needed_limit(pages, source, limit)
     counts = panels.groupBy(page).agg(F.count(F.lit(1)).alias("_panels"))
     counted = pages.select(*source, page, name).join(counts, page, "left")
     numbered = prefix_scan(counted, source, [name], rank="page_num",
@@ -135,7 +142,7 @@ def panel_ids(panels: DataFrame) -> DataFrame:
 
 def nth_free(
     wanted: DataFrame, taken: DataFrame, by: str | Sequence[str], *, nth: str, number: str, start: str,
-    name: str, limit: int = GROUP_LIMIT,
+    name: str, limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """The ``nth`` smallest integer from ``start`` on that is not in ``taken.number``, per key.
 
@@ -156,10 +163,11 @@ def nth_free(
 
 
 def fill_orders(
-    df: DataFrame, by: str | Sequence[str], *, pos: str = "pos", order: str = "reading_order", limit: int = GROUP_LIMIT
+    df: DataFrame, by: str | Sequence[str], *, pos: str = "pos", order: str = "reading_order", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Give rows without a positive order the smallest unused integers, in list position."""
     by = names(by)
+    limit = needed_limit(df, by, limit)
     has = F.coalesce(F.col(order) > 0, F.lit(False))
     one = df.withColumn("_one", F.lit(1).cast("long"))
     gaps = number_rows(one.where(~has), by, [pos], "_nth", limit=limit)
@@ -169,9 +177,10 @@ def fill_orders(
 
 
 def normalize_orders(
-    df: DataFrame, by: str | Sequence[str], *, pos: str = "pos", order: str = "reading_order", limit: int = GROUP_LIMIT
+    df: DataFrame, by: str | Sequence[str], *, pos: str = "pos", order: str = "reading_order", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Dense 1..n by the current order after filling; equal orders keep list position."""
+    limit = needed_limit(df, by, limit)
     filled = fill_orders(df, by, pos=pos, order=order, limit=limit)
     dense = number_rows(filled, by, [order, pos], "_dense", limit=limit)
     return dense.withColumn(order, F.col("_dense")).select(*df.columns)
@@ -184,7 +193,7 @@ def assign_reading_order(
     pos: str = "pos",
     rtl: bool = False,
     overlap: float = 0.4,
-    limit: int = FOLD_LIMIT,
+    limit: int | None = FOLD_LIMIT,
 ) -> DataFrame:
     """Keep the orders of a panel when every bubble has one, otherwise re-rank all of it by rows."""
     by = names(by)
@@ -205,7 +214,7 @@ def move_item(
     item: str = "item_id",
     pos: str = "pos",
     order: str = "reading_order",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Apply at most one move per list: ``moves`` has the key, ``item`` and ``to`` (position) or ``delta``.
 
@@ -213,6 +222,7 @@ def move_item(
     to the present order; otherwise the items between shift by one and the list is renumbered.
     """
     by = names(by)
+    limit = needed_limit(items, by, limit)
     kind = {"to": "long", "delta": "long"}
     cols = [F.col(c).cast(t).alias(f"_{c}") if c in moves.columns else F.lit(None).cast(t).alias(f"_{c}")
             for c, t in kind.items()]
@@ -239,7 +249,7 @@ def move_item(
 
 def neighbors(
     df: DataFrame, by: str | Sequence[str], *, item: str = "item_id", order: Sequence[str | Column] = ("pos",),
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Previous and next item of each row, its 1-based ``index`` and the list ``total``."""
     by, order = names(by), as_columns(order)
@@ -274,7 +284,7 @@ def stem_number(stem: Column) -> tuple[Column, Column]:
 
 def unique_ids(
     df: DataFrame, by: str | Sequence[str], *, stem: str = "stem", pos: str = "pos", name: str = "panel_id",
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """First use of a stem keeps it, later ones take the first free ``stem_2``, ``stem_3``… in list order.
 
@@ -284,6 +294,7 @@ def unique_ids(
     stem, so roots are resolved from the shortest name chain to the longest.
     """
     by = names(by)
+    limit = needed_limit(df, by, limit)
     start = df.withColumn("_stem", F.coalesce(F.nullif(F.col(stem), F.lit("")), F.lit("panel")))
     work = number_rows(start, [*by, "_stem"], [pos], "_use", limit=limit)
     roots = work.where("_use = 2").select(*by, F.col("_stem").alias("_root")).distinct()
@@ -303,9 +314,10 @@ def numbered(n: Column) -> Column:
 
 
 def next_bubble_id(
-    bubbles: DataFrame, *, by: str = "panel_id", bubble: str = "bubble_id", limit: int = GROUP_LIMIT
+    bubbles: DataFrame, *, by: str = "panel_id", bubble: str = "bubble_id", limit: int | None = GROUP_LIMIT
 ) -> DataFrame:
     """Next free ``<panel>_b<n>`` per panel, n counted from the number of bubbles plus one."""
+    limit = needed_limit(bubbles, by, limit)
     counts = bubbles.groupBy(by).agg((F.count(F.lit(1)) + 1).alias("_start"))
     taken = (bubble_numbers(bubbles, by, bubble).join(counts, by))
     wanted = counts.withColumn("_nth", F.lit(1))

@@ -27,11 +27,22 @@ def plan_tiles(pages: DataFrame, *, tile: int = 640, overlap: float = 0.2, page:
                         F.least(F.col("ty1") + tile, F.col("_h")).alias("ty2"))
 
 
-def translate_tiles(det: DataFrame, tiles: DataFrame, *, page: str = "page_id") -> DataFrame:
-    """Tile boxes (with ``tile_no``) in page coordinates."""
-    placed = det.join(tiles.select(page, "tile_no", "tx1", "ty1"), [page, "tile_no"])
-    moved = {c: F.col(c) + F.col("tx1" if c[0] == "x" else "ty1") for c in ("x1", "y1", "x2", "y2")}
-    return placed.withColumns(moved).select(*det.columns)
+def translate_tiles(
+    det: DataFrame, pages: DataFrame, *, tile: int = 640, overlap: float = 0.2, page: str = "page_id"
+) -> DataFrame:
+    """Tile boxes (with ``tile_no``) in page coordinates.
+
+    The origin follows from the page size and the tile number, so the boxes meet one row per page
+    instead of the whole tile plan.
+    """
+    stride = max(1, int(tile * (1.0 - overlap)))
+    axes = pages.select(page, tile_origins(F.col("w").cast("int"), tile, stride).alias("_xs"),
+                        tile_origins(F.col("h").cast("int"), tile, stride).alias("_ys"))
+    row = F.floor(F.col("tile_no") / F.size("_xs")).cast("int")
+    placed = det.join(axes, page).withColumns({
+        "_x": F.get("_xs", F.col("tile_no") % F.size("_xs")), "_y": F.get("_ys", row)})
+    moved = {c: F.col(c) + F.col("_x" if c[0] == "x" else "_y") for c in ("x1", "y1", "x2", "y2")}
+    return placed.where("_y IS NOT NULL").withColumns(moved).select(*det.columns)
 
 
 def union_tiles(*parts: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def frame_schedule(clips: DataFrame, *, duration: str = "duration", fps: int = 2
 
 def clip_timeline(
     clips: DataFrame, *, by: str | Sequence[str] = "source_id", name: str = "name", duration: str = "duration",
-    exists: str | None = None, limit: int = GROUP_LIMIT,
+    exists: str | None = None, limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Start of each clip when the clips of a source are joined in name order.
 

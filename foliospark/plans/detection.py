@@ -146,18 +146,18 @@ def tile_det(t: Tables):
 
 def translate_tiles(spark, d):
     t = Tables(spark, d)
-    return T.translate_tiles(tile_det(t), T.plan_tiles(t.page()))
+    return T.translate_tiles(tile_det(t), t.page())
 
 
 def merge_tile_boxes(spark, d):
     t = Tables(spark, d)
-    moved = T.translate_tiles(tile_det(t), T.plan_tiles(t.page())).drop("tile_no")
+    moved = T.translate_tiles(tile_det(t), t.page()).drop("tile_no")
     return S.merge_tile_boxes(moved, conf=120, iou=0.45, by="page_id")
 
 
 def union_tiles(spark, d):
     t = Tables(spark, d)
-    moved = T.translate_tiles(tile_det(t), T.plan_tiles(t.page()))
+    moved = T.translate_tiles(tile_det(t), t.page())
     parts = [B.filter_score(moved.where(f"class_id = {c}"), conf=120) for c in (0, 1)]
     return T.union_tiles(*parts).groupBy("page_id", "class_id").agg(
         F.count(F.lit(1)).alias("boxes"), F.sum("x1").alias("sum_x1"), F.sum("y2").alias("sum_y2"))

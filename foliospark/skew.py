@@ -29,8 +29,13 @@ def as_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None; one map-side combined count over the key columns."""
+def hot_keys(df: DataFrame, by: Sequence[str], limit: int | None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None; one map-side combined count over the key columns.
+
+    A limit of None says that the caller has already found, or knows, every key to be small.
+    """
+    if limit is None:
+        return None
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     largest = counts.agg(F.max("_rows")).first()[0]
     if largest is None or largest <= limit:
@@ -42,6 +47,11 @@ def hot_keys(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
     return F.broadcast(df.sparkSession.createDataFrame(found, counts.schema))
 
 
+def needed_limit(df: DataFrame, by: str | Sequence[str], limit: int | None) -> int | None:
+    """``limit`` when some key exceeds it, else None: one count that spares the steps behind it their own."""
+    return None if hot_keys(df, names(by), limit) is None else limit
+
+
 def same_key(left: DataFrame, by: Sequence[str], right: DataFrame, right_by: Sequence[str]) -> Column:
     cond = F.lit(True)
     for a, b in zip(by, right_by):
@@ -73,7 +83,7 @@ def prefix_scan(
     *,
     rank: str | None = None,
     totals: Mapping[str, Column] | None = None,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Add a 1-based ``rank`` and/or exclusive running ``totals`` per key.
 
@@ -124,7 +134,7 @@ def number_rows(
     order: Sequence[str | Column],
     name: str,
     *,
-    limit: int = GROUP_LIMIT,
+    limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """1-based position of each row inside its key."""
     return prefix_scan(df, by, order, rank=name, limit=limit)

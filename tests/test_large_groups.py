@@ -174,3 +174,12 @@ def test_text_parts(spark):
     assert len(parts) == 8
     assert "\n".join(r.text for r in parts if r.doc_id == 1) == whole[1]
     assert in_parts(lines, "doc_id", ["pos"], "n", size=8).where("doc_id = 1").groupBy("n").count().agg(F.max("count")).first()[0] == 8
+
+
+def test_overlap_pairs_large(spark):
+    data = spark.createDataFrame(random_boxes(8, {1: 40, 2: 3}), SCHEMA)
+    data = number_rows(data, "page_id", [-F.col("score"), "x1", "y1", "x2", "y2"], "det_id")
+    for metric, threshold in (("iou", 0.2), ("min", 0.5)):
+        plain = B.overlap_pairs(data, metric=metric, threshold=threshold)
+        assert plain.count() > 10
+        assert rows(plain) == rows(B.overlap_pairs(data, metric=metric, threshold=threshold, limit=5, cell=64))

@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from foliospark.functions import names as N
-from foliospark.functions.geometry import box_iou, box_of
+from foliospark.functions.geometry import box_iou
 from foliospark.operators import boxes as B
 from foliospark.operators import catalog as C
 from foliospark.operators import order as O
@@ -57,7 +57,7 @@ def test_tensor_layouts(spark):
 def test_iou(spark):
     df = spark.createDataFrame([(0, 0, 10, 10, 5, 5, 15, 15), (0, 0, 10, 10, 20, 20, 30, 30)],
                                "a_x1 int, a_y1 int, a_x2 int, a_y2 int, b_x1 int, b_y1 int, b_x2 int, b_y2 int")
-    got = [r[0] for r in df.select(box_iou(box_of(prefix="a_"), box_of(prefix="b_"))).collect()]
+    got = [r[0] for r in df.select(box_iou("a_", "b_")).collect()]
     assert got[0] == pytest.approx(25 / 175) and got[1] == 0
 
 
