@@ -37,33 +37,32 @@ def list_projects(spark, d):
     return C.list_projects(folders, query=" Mach")
 
 
-def _stock(t: Tables, cond: str):
-    return t.read("pages").where(cond).selectExpr(f"{_HOST} AS project", "concat('page_', page_id, '.png') AS name", "url AS path")
+def _stock(t: Tables):
+    """Two listings with names of their own and names in common: (source, target)."""
+    def named(table: str, key: str, path: str):
+        return t.read(table).selectExpr(f"concat('book_', {key} % 7) AS project", f"concat('page_', {key}, '.png') AS name", f"{path} AS path")
+
+    return named("pages", "page_id", "url"), named("labels", "doc_id", "'old'")
 
 
 def sync_panels_append(spark, d):
-    t = Tables(spark, d)
-    return C.sync_panels(_stock(t, "page_id % 3 <> 0"), _stock(t, "page_id % 2 = 0").withColumn("path", F.lit("old")), mode="append")
+    return C.sync_panels(*_stock(Tables(spark, d)), mode="append")
 
 
 def sync_panels_replace(spark, d):
-    t = Tables(spark, d)
-    return C.sync_panels(_stock(t, "page_id % 3 <> 0"), _stock(t, "page_id % 2 = 0"), mode="replace")
+    return C.sync_panels(*_stock(Tables(spark, d)), mode="replace")
 
 
 def sync_diff(spark, d):
-    t = Tables(spark, d)
-    return C.sync_diff(_stock(t, "page_id % 3 <> 0"), _stock(t, "page_id % 2 = 0"))
+    return C.sync_diff(*_stock(Tables(spark, d)))
 
 
 def _panel_sources(t: Tables):
-    pages = t.read("pages")
-    panels = pages.selectExpr(f"{_HOST} AS project", "concat('page_', page_id) AS panel_id", "concat('panels/page_', page_id, '.png') AS image_path")
-    source = pages.where("page_id % 4 < 2").selectExpr(
-        f"{_HOST} AS project", "concat('page_', page_id, CASE WHEN page_id % 4 = 0 THEN '.png' ELSE '.webp' END) AS name",
-        "concat('src/', page_id) AS path")
-    copies = pages.where("page_id % 3 <> 1").selectExpr(
-        f"{_HOST} AS project", "concat('page_', page_id, '.png') AS name", "concat('copy/', page_id) AS path")
+    panels = t.read("documents").selectExpr(
+        "concat('book_', doc_id % 7) AS project", "concat('page_', doc_id) AS panel_id", "concat('panels/page_', doc_id, '.png') AS image_path")
+    source = _listing(t).selectExpr("concat('book_', page_id % 7) AS project", "name", "concat('src/', page_id) AS path")
+    copies = t.read("labels").selectExpr(
+        "concat('book_', doc_id % 7) AS project", "concat('page_', doc_id, '.png') AS name", "concat('copy/', doc_id) AS path")
     return panels, source, copies
 
 
@@ -142,25 +141,28 @@ def attach_results(spark, d):
     return C.attach_results(pages, results)
 
 
+_ENUMS = {"Customer#000000002": ("1-URGENT", "2-HIGH"), "Customer#000000005": ("1-URGENT",), "Customer#000000007": ("5-LOW", "")}
+
+
 def layer_settings(spark, d):
-    nation = Tables(spark, d).read("nation")
-    base = nation.selectExpr("n_regionkey AS section", "n_name AS key", "CAST(n_nationkey AS STRING) AS value").where("key <> 'NATION_7'")
-    patch = nation.where("n_nationkey % 4 <> 1").selectExpr(
-        "n_regionkey AS section", "n_name AS key",
-        "CASE WHEN n_nationkey % 3 <> 0 THEN CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE CAST((n_nationkey * 7) % 11 AS STRING) END END AS value")
-    return C.layer_settings(base, patch, enums={"NATION_2": ("off", "grid"), "NATION_4": ("6", "grid"), "NATION_8": ("1", "2")})
+    t = Tables(spark, d)
+    base = t.read("customer").where("c_acctbal > 0").selectExpr("c_custkey % 25 AS section", "c_name AS key", "c_mktsegment AS value")
+    patch = t.read("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderpriority").alias("p")).selectExpr(
+        "o_custkey % 25 AS section", "format_string('Customer#%09d', o_custkey) AS key",
+        "CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p END AS value")
+    return C.layer_settings(base, patch, enums=_ENUMS)
 
 
 # --- documents -----------------------------------------------------------------------------------
 
 def _panels(t: Tables):
-    return (t.read("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-            .selectExpr("concat('book_', conv_id % 7) AS project", "conv_id AS panel_id",
-                        "concat('panels/', conv_id, '.png') AS image_path", "conv_id AS pos"))
+    """Panels of every document id; most have no bubbles."""
+    return t.read("documents").selectExpr(
+        "source AS project", "doc_id AS panel_id", "concat('panels/', doc_id, '.png') AS image_path", "doc_id AS pos")
 
 
 def _texts(t: Tables):
-    return t.bubble().where("panel_id % 5 <> 0").selectExpr(
+    return t.bubble().selectExpr(
         "panel_id", "bubble_id", "pos + 1 AS reading_order", "raw_text", "CASE WHEN pos % 2 = 0 THEN raw_text END AS corrected_text",
         "CASE WHEN pos % 3 = 0 THEN 'sfx' END AS type", "x1", "y1", "x2", "y2")
 
@@ -188,7 +190,8 @@ def bubbles_json(spark, d):
 def upsert_panel(spark, d):
     t = Tables(spark, d)
     docs = D.explode_panels(D.build_documents(_panels(t), _texts(t))).select("project", "panel_id", "image_path", "bubbles")
-    updates = docs.where("CAST(panel_id AS BIGINT) % 3 = 0").withColumn("bubbles", F.transform(
+    seen = t.read("labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("panel_id"))
+    updates = docs.join(seen, "panel_id", "left_semi").withColumn("bubbles", F.transform(
         F.slice("bubbles", 1, 2), lambda b: b.withField("corrected_text", F.lit("seen"))))
     merged, _ = D.upsert_panel(docs, updates)
     return merged.select("project", "panel_id", F.size("bubbles").alias("bubbles"),
@@ -269,23 +272,23 @@ _LISTING_SQL = """
 listing AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS folder, page_id,
                    'page_' || page_id || '.' || ['png', 'JPG', 'jpeg', 'cbz', 'txt', 'webp'][page_id % 6 + 1] AS name FROM pages)"""
 _STOCK_SQL = """
-src AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS project, 'page_' || page_id || '.png' AS name, url AS path FROM pages WHERE page_id % 3 <> 0),
-tgt AS (SELECT regexp_extract(url, '//([^/]+)/', 1) AS project, 'page_' || page_id || '.png' AS name, url AS path FROM pages WHERE page_id % 2 = 0)"""
+src AS (SELECT 'book_' || (page_id % 7) AS project, 'page_' || page_id || '.png' AS name, url AS path FROM pages),
+tgt AS (SELECT 'book_' || (doc_id % 7) AS project, 'page_' || doc_id || '.png' AS name, 'old' AS path FROM labels)"""
 _ARTIFACT_SQL = """
 required AS (SELECT p_brand AS brand, p_size AS size, p_partkey AS item FROM part),
 present AS (SELECT DISTINCT l_partkey AS item FROM lineitem WHERE l_quantity > 47 AND l_returnflag = 'R'),
 status AS (SELECT brand, size, count(*) AS n_required, count(*) FILTER (WHERE item NOT IN (SELECT item FROM present)) AS n_missing
            FROM required GROUP BY brand, size)"""
 _DOC_SQL = """
-panels AS (SELECT DISTINCT 'book_' || (conv_id % 7) AS project, conv_id AS panel_id, 'panels/' || conv_id || '.png' AS image_path FROM conversations),
+panels AS (SELECT source AS project, doc_id AS panel_id, 'panels/' || doc_id || '.png' AS image_path FROM documents),
 texts AS (SELECT panel_id, bubble_id, pos + 1 AS reading_order, raw_text, CASE WHEN pos % 2 = 0 THEN raw_text ELSE '' END AS corrected_text,
-                 CASE WHEN pos % 3 = 0 THEN 'sfx' ELSE 'speech' END AS type, x1, y1, x2, y2 FROM bubble WHERE panel_id % 5 <> 0)"""
-_PATHS_SQL = """CASE WHEN page_id % 4 = 0 OR page_id % 4 = 1 THEN 'src/' || page_id {} ELSE '' END AS abs_path"""
+                 CASE WHEN pos % 3 = 0 THEN 'sfx' ELSE 'speech' END AS type, x1, y1, x2, y2 FROM bubble)"""
 
 
 def _prefer(copy: str) -> str:
-    return f"""SELECT regexp_extract(url, '//([^/]+)/', 1) AS project, 'page_' || page_id AS panel_id,
-       'panels/page_' || page_id || '.png' AS image_path, {_PATHS_SQL.format(copy)} FROM pages"""
+    return f"""SELECT 'book_' || (doc_id % 7) AS project, 'page_' || doc_id AS panel_id, 'panels/page_' || doc_id || '.png' AS image_path,
+       CASE WHEN doc_id IN (SELECT page_id FROM pages WHERE page_id % 6 NOT IN (3, 4)) THEN 'src/' || doc_id {copy} ELSE '' END AS abs_path
+FROM documents"""
 
 
 QUERIES = {f.__name__: f for f in (
@@ -313,7 +316,7 @@ WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.project = t.project AND s.name = t
 SELECT project, name, 'add' AS action FROM (SELECT project, name FROM src EXCEPT SELECT project, name FROM tgt)
 UNION ALL SELECT project, name, 'keep' FROM (SELECT project, name FROM src INTERSECT SELECT project, name FROM tgt)
 UNION ALL SELECT project, name, 'delete' FROM (SELECT project, name FROM tgt EXCEPT SELECT project, name FROM src)""",
-    "prefer_source_path": _prefer("WHEN page_id % 3 <> 1 THEN 'copy/' || page_id"),
+    "prefer_source_path": _prefer("WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'copy/' || doc_id"),
     "prefer_source_path_strict": _prefer(""),
     "missing_artifacts": f"WITH {_ARTIFACT_SQL} SELECT * FROM required WHERE item NOT IN (SELECT item FROM present)",
     "artifact_status": f"WITH {_ARTIFACT_SQL} SELECT *, n_missing = 0 AS installed FROM status",
@@ -352,11 +355,11 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY name)
 counted AS (SELECT page_id, count(*) AS boxes FROM det GROUP BY page_id)
 SELECT source_id, page_num, name, n.page_id, boxes FROM numbered n JOIN counted c ON c.page_id = n.page_id""",
     "layer_settings": """
-WITH base AS (SELECT n_regionkey AS section, n_name AS key, CAST(n_nationkey AS VARCHAR) AS value FROM nation WHERE n_name <> 'NATION_7'),
-patch AS (SELECT n_regionkey AS section, n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 5 = 0 THEN ''
-                 ELSE CAST((n_nationkey * 7) % 11 AS VARCHAR) END AS value FROM nation WHERE n_nationkey % 4 <> 1),
-valid AS (SELECT * FROM patch WHERE value IS NOT NULL AND NOT (key = 'NATION_2' AND value NOT IN ('off', 'grid'))
-          AND NOT (key = 'NATION_4' AND value NOT IN ('6', 'grid')) AND NOT (key = 'NATION_8' AND value NOT IN ('1', '2')))
+WITH base AS (SELECT c_custkey % 25 AS section, c_name AS key, c_mktsegment AS value FROM customer WHERE c_acctbal > 0),
+patch AS (SELECT o_custkey % 25 AS section, printf('Customer#%09d', o_custkey) AS key,
+                 CASE count(*) % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE min(o_orderpriority) END AS value FROM orders GROUP BY o_custkey),
+valid AS (SELECT * FROM patch WHERE value IS NOT NULL AND NOT (key = 'Customer#000000002' AND value NOT IN ('1-URGENT', '2-HIGH'))
+          AND NOT (key = 'Customer#000000005' AND value <> '1-URGENT') AND NOT (key = 'Customer#000000007' AND value NOT IN ('5-LOW', '')))
 SELECT * FROM valid UNION ALL
 SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.section = b.section AND v.key = b.key)""",
     "build_documents": f"""{views('bubble')},{_DOC_SQL}
@@ -374,8 +377,9 @@ FROM panels p LEFT JOIN nested n ON n.panel_id = p.panel_id GROUP BY project""",
     "bubbles_json": f"""{views('bubble')},{_DOC_SQL}
 SELECT panel_id, bubble_id, '' AS raw_text, raw_text AS corrected_text, type, reading_order, x1, y1, x2, y2 FROM texts""",
     "upsert_panel": f"""{views('bubble')},{_DOC_SQL},
-shown AS (SELECT project, p.panel_id, bubble_id, CASE WHEN p.panel_id % 3 = 0 THEN 'seen' ELSE corrected_text END AS said, reading_order
-          FROM panels p LEFT JOIN texts t ON t.panel_id = p.panel_id AND (p.panel_id % 3 <> 0 OR reading_order <= 2))
+marked AS (SELECT *, panel_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS seen FROM panels),
+shown AS (SELECT project, p.panel_id, bubble_id, CASE WHEN seen THEN 'seen' ELSE corrected_text END AS said, reading_order
+          FROM marked p LEFT JOIN texts t ON t.panel_id = p.panel_id AND (NOT seen OR reading_order <= 2))
 SELECT project, CAST(panel_id AS VARCHAR) AS panel_id, CAST(count(bubble_id) AS INT) AS bubbles,
        coalesce(string_agg(said, '|' ORDER BY reading_order) FILTER (WHERE bubble_id IS NOT NULL), '') AS texts
 FROM shown GROUP BY project, panel_id""",

@@ -16,8 +16,8 @@ _CENTRE = "y1 + y2, x1, y1, x2, y2, score, class_id"
 _BUBBLE = ["bubble_id", "pos", "x1", "y1", "x2", "y2"]
 
 
-def _strong(t: Tables, conf: int = 350):
-    return B.filter_score(t.det(), conf=conf)
+def _strong(t: Tables):
+    return B.filter_score(t.det(), conf=350)
 
 
 def cluster_rows(spark, d):
@@ -25,7 +25,7 @@ def cluster_rows(spark, d):
 
 
 def cluster_rows_rtl(spark, d):
-    return O.cluster_rows(_strong(Tables(spark, d), 600), rtl=True)
+    return O.cluster_rows(_strong(Tables(spark, d)), rtl=True)
 
 
 def panel_manifest(spark, d):
@@ -127,7 +127,7 @@ def next_bubble_id(spark, d):
 
 def _found(t: Tables):
     right, down = "CAST((pos * 37 + panel_id * 11) % 90 AS INT)", "CAST((pos * 13) % 25 AS INT)"
-    return t.bubble().where("pos <> 2").selectExpr(
+    return t.bubble().selectExpr(
         "panel_id", "pos", f"x1 + {right} AS x1", f"y1 + {down} AS y1", f"x2 + {right} AS x2", f"y2 + {down} AS y2")
 
 
@@ -182,7 +182,7 @@ _EVEN = """
 even AS (SELECT panel_id, panel_id || '_b' || (pos * 2) AS bubble_id, pos, reading_order, x1, y1, x2, y2 FROM bubble),
 found AS (SELECT panel_id, pos, CAST(x1 + (pos * 37 + panel_id * 11) % 90 AS INT) AS x1, CAST(y1 + (pos * 13) % 25 AS INT) AS y1,
                  CAST(x2 + (pos * 37 + panel_id * 11) % 90 AS INT) AS x2, CAST(y2 + (pos * 13) % 25 AS INT) AS y2
-          FROM bubble WHERE pos <> 2)"""
+          FROM bubble)"""
 _FREE_IDS = """
 size AS (SELECT panel_id, count(*) AS n FROM even GROUP BY panel_id),
 open_id AS (SELECT s.panel_id, g.n, row_number() OVER (PARTITION BY s.panel_id ORDER BY g.n) AS r
@@ -231,7 +231,7 @@ SELECT p.*, n.source_id, n.page_num, CAST(n.before + p.reading_order AS BIGINT)
 FROM panel p JOIN numbered n ON n.page_id = p.page_id""",
     "cluster_rows": f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
 {row_walk('panel', 'strong', 'page_id', DET, _CENTRE)} SELECT * FROM panel""",
-    "cluster_rows_rtl": f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 600),
+    "cluster_rows_rtl": f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
 {row_walk('panel', 'strong', 'page_id', DET, _CENTRE, rtl=True)} SELECT * FROM panel""",
     "sort_boxes": f"""{views('det')} SELECT page_id, x1, y1, x2, y2, score,
        row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, x2, y2, score) AS box_no FROM det""",

@@ -21,9 +21,9 @@ def source_totals(spark, d):
 
 
 def _stage(t: Tables):
-    panels = t.read("conversations").where("turn = 0").selectExpr(
-        "concat('book_', conv_id % 7) AS project", "conv_id AS panel_id", "conv_id % 6 <> 0 AS readable", "conv_id % 13 AS detector_ms")
-    bubbles = t.read("conversations").where("conv_id % 4 <> 0").selectExpr("conv_id AS panel_id", "turn * 3 + conv_id % 5 AS ocr_ms")
+    panels = t.read("documents").selectExpr(
+        "source AS project", "doc_id AS panel_id", "n_chars % 6 <> 0 AS readable", "n_chars % 13 AS detector_ms")
+    bubbles = t.read("conversations").selectExpr("conv_id AS panel_id", "turn * 3 + conv_id % 5 AS ocr_ms")
     return panels, bubbles
 
 
@@ -50,7 +50,7 @@ def benchmark_rows(spark, d):
 
 def benchmark_summary(spark, d):
     rows = R.benchmark_rows(_runs(Tables(spark, d))).withColumn("error", F.when(F.col("file") % 7 == 0, F.lit("failed")))
-    return R.benchmark_summary(rows, error="error").withColumn("avg_total_ms", rounded(F.col("avg_total_ms")))
+    return R.benchmark_summary(rows, error="error").withColumn("avg_total_ms", rounded(F.col("avg_total_ms") + 1e-9))
 
 
 def map_mean(spark, d):
@@ -246,18 +246,18 @@ found AS (SELECT page_id, count(*) AS n FROM det WHERE score > 350 GROUP BY page
 SELECT source_id, count(*) AS pages_processed, CAST(sum(CASE WHEN p.page_id % 13 = 0 THEN 0 ELSE coalesce(n, 0) END) AS BIGINT) AS panels_total
 FROM page p LEFT JOIN found f ON f.page_id = p.page_id GROUP BY source_id""",
     "stage_stats": """
-WITH p AS (SELECT conv_id, 'book_' || (conv_id % 7) AS project, conv_id % 6 <> 0 AS ok FROM conversations WHERE turn = 0),
-b AS (SELECT conv_id, count(*) AS n, sum(turn * 3 + conv_id % 5) AS ms FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id)
+WITH p AS (SELECT doc_id, source AS project, n_chars % 6 <> 0 AS ok, n_chars % 13 AS detector FROM documents),
+b AS (SELECT conv_id, count(*) AS n, sum(turn * 3 + conv_id % 5) AS ms FROM conversations GROUP BY conv_id)
 SELECT project, count(*) FILTER (WHERE ok) AS panels, CAST(sum(CASE WHEN ok THEN coalesce(n, 0) ELSE 0 END) AS BIGINT) AS bubbles,
-       CAST(sum(CASE WHEN ok THEN p.conv_id % 13 ELSE 0 END) AS BIGINT) AS detector_ms,
+       CAST(sum(CASE WHEN ok THEN detector ELSE 0 END) AS BIGINT) AS detector_ms,
        CAST(sum(CASE WHEN ok THEN coalesce(ms, 0) ELSE 0 END) AS BIGINT) AS ocr_ms, count(*) FILTER (WHERE NOT ok) AS errors
-FROM p LEFT JOIN b ON b.conv_id = p.conv_id GROUP BY project""",
-    "stage_errors": "SELECT 'book_' || (conv_id % 7) AS project, conv_id AS panel_id FROM conversations WHERE turn = 0 AND conv_id % 6 = 0",
+FROM p LEFT JOIN b ON b.conv_id = p.doc_id GROUP BY project""",
+    "stage_errors": "SELECT source AS project, doc_id AS panel_id FROM documents WHERE n_chars % 6 = 0",
     "benchmark_rows": f"""WITH {_RUNS_SQL}
 SELECT file, mode, round_even(yolo, 1) AS yolo_ms, round_even(enc, 1) AS sam_encoder_ms, 0.0::DOUBLE AS sam_decoder_ms,
        round_even(total, 1) AS total_ms, total < 600 AS passes FROM means""",
     "benchmark_summary": f"""WITH {_RUNS_SQL}
-SELECT mode, {r6('avg(round_even(total, 1))')} AS avg_total_ms, count(*) FILTER (WHERE total < 600) AS passed, count(*) AS files
+SELECT mode, {r6('avg(round_even(total, 1)) + 1e-9')} AS avg_total_ms, count(*) FILTER (WHERE total < 600) AS passed, count(*) AS files
 FROM means WHERE file % 7 <> 0 GROUP BY mode""",
     "map_mean": f"""WITH {_RUNS_SQL},
 step AS (SELECT mode, 'yolo_ms' AS key, CAST(ms AS DOUBLE) AS v FROM runs UNION ALL SELECT mode, 'total_ms', ms * 8 + k FROM runs
