@@ -229,7 +229,8 @@ def canonical_engine(spark, d):
 
 def repair_mojibake(spark, d):
     t = Tables(spark, d)
-    return t.read("documents").select("doc_id", X.repair_mojibake(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).alias("text"))
+    ended = F.concat("text", F.lit("."))
+    return t.read("documents").select("doc_id", X.repair_mojibake(F.decode(F.encode(ended, "UTF-8"), "ISO-8859-1")).alias("text"))
 
 
 def text_or_fallback(spark, d):
@@ -399,7 +400,7 @@ SELECT doc_id, regexp_replace(trim('  ' || string_split(text, '.')[1] || ' -'),
 SELECT event_id, CASE event_id % 10 WHEN 0 THEN 'easyocr' WHEN 1 THEN 'paddle' WHEN 2 THEN 'auto' ELSE 'siliconflow' END AS ocr,
        CASE event_id % 10 WHEN 6 THEN 'realcugan' WHEN 8 THEN 'span' ELSE 'realesrgan' END AS upscale,
        CASE event_id % 10 WHEN 9 THEN 'manga' ELSE 'comic' END AS detector FROM events""",
-    "repair_mojibake": "SELECT doc_id, text FROM documents",
+    "repair_mojibake": "SELECT doc_id, text || '.' AS text FROM documents",
     "text_or_fallback": """
 SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND trim(text) <> '' THEN text ELSE 'cloud ' || turn END AS text,
        CASE WHEN turn % 4 = 0 AND trim(text) <> '' THEN 'paddle' ELSE 'siliconflow' END AS engine FROM conversations""",

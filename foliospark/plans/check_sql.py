@@ -64,5 +64,6 @@ def row_walk(name: str, source: str, key: str, cols: list[str], order: str, rtl:
 
 
 def r6(sql: str, digits: int = 6) -> str:
-    """Rounded, without negative zero."""
-    return f"(CASE WHEN round({sql}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({sql}, {digits}) END)"
+    """Rounded off the ties, without negative zero."""
+    value = f"round(({sql}) + 1e-9::DOUBLE, {digits})"
+    return f"(CASE WHEN {value} = 0 THEN 0.0::DOUBLE ELSE {value} END)"

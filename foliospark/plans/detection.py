@@ -18,7 +18,8 @@ RANK = "score DESC, x1, y1, x2, y2, class_id"
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    r = F.round(c, digits)
+    """Rounded for comparison: off the ties that two engines may round apart, and without negative zero."""
+    r = F.round(c + F.lit(1e-9), digits)
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
