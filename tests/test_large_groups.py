@@ -43,8 +43,9 @@ def best_first(boxes):
     return sorted(boxes, key=lambda b: (-b[4], b[:4]))
 
 
-@pytest.mark.parametrize("limit", [10_000, 20])
-def test_greedy_walks(spark, limit):
+@pytest.mark.parametrize("limit, best", [(10_000, 1), (20, 1_000), (20, 3)])
+def test_greedy_walks(spark, monkeypatch, limit, best):
+    monkeypatch.setattr(S, "ROUND_BEST", best)
     data = random_boxes(1, {1: 5, 2: 40, 3: 1})
     df = spark.createDataFrame(data, SCHEMA)
     cols = ("page_id", "x1", "y1", "x2", "y2", "score")
