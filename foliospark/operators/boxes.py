@@ -191,18 +191,18 @@ def snap_to_edges(
     Edges are reduced to distinct coordinates per page before they meet the moved boxes, so a
     crowded page costs a bounded number of candidates per edge.
     """
-    def edges(axis: str) -> DataFrame:
-        size = "w" if axis == "x" else "h"
-        own = boxes.select(page, F.lit(axis).alias("_axis"), F.explode(F.array(f"{axis}1", f"{axis}2")).alias("_at"),
-                           F.col(box).alias("_owner"))
-        border = pages.select(page, F.lit(axis).alias("_axis"), F.explode(F.array(F.lit(0), F.col(size))).alias("_at"),
-                              F.lit(None).cast(boxes.schema[box].dataType).alias("_owner"))
-        return own.unionByName(border)
+    def edges(df: DataFrame, at: dict[str, Sequence[Column]], owner: Column) -> DataFrame:
+        listed = [F.struct(F.lit(axis).alias("_axis"), c.cast("long").alias("_at")) for axis, cs in at.items() for c in cs]
+        return df.select(page, F.explode(F.array(*listed)).alias("_e"), owner.alias("_owner")).select(page, "_e.*", "_owner")
+
+    own = edges(boxes, {a: (F.col(f"{a}1"), F.col(f"{a}2")) for a in "xy"}, F.col(box))
+    border = edges(pages, {"x": (F.lit(0), F.col("w")), "y": (F.lit(0), F.col("h"))},
+                   F.lit(None).cast(boxes.schema[box].dataType))
 
     # Two different owners (or the border) are enough to know that somebody else has the edge.
     # Wide bands, so that most probes fall into a single one.
     band = 8 * (threshold + 1)
-    candidates = (edges("x").unionByName(edges("y")).groupBy(page, "_axis", "_at")
+    candidates = (own.unionByName(border).groupBy(page, "_axis", "_at")
                   .agg(F.min("_owner").alias("_lo"), F.max("_owner").alias("_hi"),
                        F.max(F.col("_owner").isNull()).alias("_border"))
                   .withColumn("_band", F.floor(F.col("_at") / band).cast("long")))
@@ -223,7 +223,7 @@ def snap_to_edges(
     best = {a: F.min(F.when(F.col("_axis") == a, F.struct(gap, "_kind", "_at", origin.alias("_origin")))) for a in "xy"}
     snapped = hits.groupBy(page, box).agg(best["x"].alias("_sx"), best["y"].alias("_sy"))
     out = moved.join(snapped, [page, box], "left")
-    x, y = F.coalesce(F.col("_sx._origin"), F.col("x1")), F.coalesce(F.col("_sy._origin"), F.col("y1"))
+    x, y = (F.coalesce(F.col(f"_s{a}._origin"), F.col(f"{a}1")).cast(moved.schema[f"{a}1"].dataType) for a in "xy")
     return out.withColumns({"x1": x, "y1": y, "x2": x + F.col("x2") - F.col("x1"), "y2": y + F.col("y2") - F.col("y1")}
                            ).select(*moved.columns)
 
