@@ -189,6 +189,11 @@ def nms(spark, d):
     return S.nms(Tables(spark, d).det(), conf=350)
 
 
+def nms_large_pages(spark, d):
+    """The way of pages too large for one array, taken by every page above six boxes."""
+    return S.nms(Tables(spark, d).det(), conf=350, limit=6)
+
+
 def suppress_contained(spark, d):
     return S.suppress_contained(B.filter_score(Tables(spark, d).det(), conf=350))
 
@@ -256,8 +261,6 @@ SELECT n.page_id AS page_id, n.det_id AS box_id, coalesce(bx.origin, n.x1) AS x1
 FROM numbered n LEFT JOIN best_x bx ON bx.page_id = n.page_id AND bx.det_id = n.det_id
 LEFT JOIN best_y b2 ON b2.page_id = n.page_id AND b2.det_id = n.det_id"""
 
-_SIX = "CAST({} * (CAST({} AS DOUBLE) / 640) AS DOUBLE)"
-
 
 def _scaled(c: str, size: str) -> str:
     return f"CAST(greatest(0, least(trunc({c} * (CAST({size} AS DOUBLE) / 640)), {size})) AS INT) AS {c}"
@@ -268,9 +271,13 @@ _DET_OUT = "page_id, x1, y1, x2, y2, score, class_id"
 QUERIES = {f.__name__: f for f in (
     decode_detections, decode_single_class, decode_multi_class, filter_score, to_corners, rescale_clip, filter_min_area,
     normalize_bbox, padded_window, clamp_window, validate_bubbles, snap_to_grid, snap_to_edges, plan_tiles,
-    translate_tiles, merge_tile_boxes, union_tiles, nms, suppress_contained, overlap_pairs, containment_pairs,
+    translate_tiles, merge_tile_boxes, union_tiles, nms, nms_large_pages, suppress_contained, overlap_pairs, containment_pairs,
     new_boxes_only, detect_pages)}
 
+_NMS = f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
+{greedy('kept', 'strong', 'page_id', DET, RANK, IOU_ABOVE)}
+SELECT {_DET_OUT} FROM kept"""
+
 ORACLE = {
     "decode_detections": _DECODE_ROWS,
     "decode_single_class": _decode_columns(12, 4, "true"),
@@ -322,9 +329,8 @@ SELECT {_DET_OUT} FROM kept""",
     "union_tiles": f"""{views('page', 'det')},{TILES_SQL},{MOVED_SQL}
 SELECT page_id, class_id, count(*) AS boxes, CAST(sum(x1) AS BIGINT) AS sum_x1, CAST(sum(y2) AS BIGINT) AS sum_y2
 FROM moved WHERE score > 120 GROUP BY page_id, class_id""",
-    "nms": f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
-{greedy('kept', 'strong', 'page_id', DET, RANK, IOU_ABOVE)}
-SELECT {_DET_OUT} FROM kept""",
+    "nms": _NMS,
+    "nms_large_pages": _NMS,
     "suppress_contained": f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
 {greedy('kept', 'strong', 'page_id', DET, RANK, CONTAINED)}
 SELECT {_DET_OUT} FROM kept""",

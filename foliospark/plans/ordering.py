@@ -24,6 +24,11 @@ def cluster_rows(spark, d):
     return O.cluster_rows(_strong(Tables(spark, d)))
 
 
+def cluster_rows_large_pages(spark, d):
+    """The way of pages too large for one array, taken by every page above six boxes."""
+    return O.cluster_rows(_strong(Tables(spark, d)), limit=6)
+
+
 def cluster_rows_rtl(spark, d):
     return O.cluster_rows(_strong(Tables(spark, d)), rtl=True)
 
@@ -58,6 +63,12 @@ def global_order(spark, d):
     return O.global_order(_ordered_panels(t), t.page())
 
 
+def global_order_large_sources(spark, d):
+    """Numbering sliced inside the source, for every source above eight pages."""
+    t = Tables(spark, d)
+    return O.global_order(_ordered_panels(t), t.page(), limit=8)
+
+
 def panel_ids(spark, d):
     t = Tables(spark, d)
     numbered = O.global_order(_ordered_panels(t), t.page())
@@ -211,7 +222,8 @@ WHERE panel_id IN (SELECT panel_id FROM complete)"""
 
 
 QUERIES = {f.__name__: f for f in (
-    panel_manifest, cluster_rows, cluster_rows_rtl, sort_boxes, top_score, limit_n, number_pages, global_order, panel_ids,
+    panel_manifest, cluster_rows, cluster_rows_large_pages, cluster_rows_rtl, sort_boxes, top_score, limit_n, number_pages, global_order,
+    global_order_large_sources, panel_ids,
     export_names, fill_orders, normalize_orders, assign_reading_order, move_item, neighbors, unique_ids,
     unique_ids_colliding, next_bubble_id, append_dedup, append_reordered, replace_boxes)}
 
@@ -295,3 +307,7 @@ SELECT panel_id, bubble_id, x1, y1, x2, y2, reading_order FROM appended""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY pos) AS reading_order FROM found)
 SELECT panel_id, panel_id || '_b' || reading_order AS bubble_id, x1, y1, x2, y2, reading_order FROM ranked""",
 }
+
+# The ways for large groups answer to the same check.
+ORACLE["cluster_rows_large_pages"] = ORACLE["cluster_rows"]
+ORACLE["global_order_large_sources"] = ORACLE["global_order"]
