@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from foliospark.llm.common import table
+from foliospark.llm.fm_index import mark_contamination
 from foliospark.llm.near_join import near_groups
 
 
@@ -12,6 +15,22 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return marked.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+}
 
 ORACLE: dict[str, str] = {}
