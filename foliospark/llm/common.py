@@ -117,3 +117,30 @@ def bitmap(keys: DataFrame, key: str, bits: int = 24) -> np.ndarray:
 def in_bitmap(filled: np.ndarray, slots: np.ndarray) -> np.ndarray:
     slots = slots.astype(np.uint64)
     return (filled[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+
+
+def slices(vector: np.ndarray, width: int) -> pa.RecordBatch | None:
+    """The non-zero entries of a vector as rows (slice, at, values); None if there are none."""
+    parts = [(k, np.flatnonzero(part), part) for k, part in enumerate(vector.reshape(-1, width))]
+    rows = [(k, at.astype(np.uint16).tobytes(), part[at].astype(np.float32).tobytes()) for k, at, part in parts if len(at)]
+    if not rows:
+        return None
+    k, at, values = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["slice", "at", "values"])
+
+
+def sum_slices(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """The sum of vectors of a fixed size that tasks have cut with :func:`slices`; width is at most 65,536."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, values in zip(*(c.to_pylist() for c in batch.columns)):
+                totals.setdefault(k, np.zeros(width))[np.frombuffer(at, np.uint16)] += np.frombuffer(values, np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["slice", "total"])
+
+    out = np.zeros(size)
+    parts = rows.select("slice", "at", "values").repartition(size // width, "slice")
+    for k, total in parts.mapInArrow(add, "slice int, total binary").collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(total)
+    return out

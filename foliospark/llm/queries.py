@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
 from foliospark.llm.near_join import near_groups
+from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +36,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
