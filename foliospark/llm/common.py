@@ -98,14 +98,13 @@ def slot(key, bits: int = 24) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
-def bitmap(keys: DataFrame, key: str, bits: int = 24) -> np.ndarray:
-    """Bitmap of the keys' slots: a membership filter of fixed size, gathered as 64-bit words.
+def bitmap(slots: DataFrame, bits: int = 24) -> np.ndarray:
+    """Bitmap of a column ``slot``: a membership filter of fixed size, gathered as 64-bit words.
 
     At most 2^(bits - 6) longs reach the driver, however many keys there are; many keys only make it less selective.
     """
     words = (
-        keys.select(slot(key, bits).alias("slot"))
-        .groupBy(F.expr("cast(slot >> 6 as int)").alias("word"))
+        slots.groupBy(F.expr("cast(slot >> 6 as int)").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
     )
     out = np.zeros(1 << (bits - 6), np.int64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,24 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
+
+
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that join all nodes connected by a verified pair of a common key; members holds (key, node).
+
+    ``verify`` keeps the pairs (a, b) that link.  Each node is compared with the smallest node of its keys first.  Only keys
+    whose nodes still belong to several groups need more: nodes outside a key's largest group are paired with all nodes
+    of other groups.  A key on which all agree costs its size; no pair of different groups is left out.
+    """
+    lead = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
+    members = cut_lineage(members.join(lead, "key"))
+    links = cut_lineage(verify(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()))
+    named = components(links).select("node", F.col("component").alias("grp"))
+    placed = cut_lineage(members.drop("lead").join(named, "node", "left").select("key", "node", F.coalesce("grp", "node").alias("grp")))
+    sizes = placed.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("nodes"))
+    mixed = sizes.groupBy("key").agg(F.max_by("grp", "nodes").alias("major"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
+    placed = placed.join(mixed, "key")
+    left = placed.where("grp <> major").select("key", F.col("node").alias("a"), F.col("grp").alias("ga"))
+    right = placed.select("key", F.col("node").alias("b"), F.col("grp").alias("gb"), "major")
+    pairs = left.join(right, "key").where("ga <> gb and (gb = major or a < b)").select("a", "b").distinct()
+    return links.unionByName(verify(pairs))
