@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
+from foliospark.llm.lines import drop_repeated
 from foliospark.llm.near_join import near_groups
+from foliospark.llm.pieces import MODEL, decode_texts, encode_texts
 from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -22,6 +29,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model=model)
+    both = decode_texts(encoded, model=model)
+    # The mark that stands for a blank is decoded as one, wherever it comes from.
+    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit("\u2581"), F.lit(" ")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -36,6 +51,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
