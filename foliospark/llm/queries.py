@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from foliospark.llm.ball_tree import quantised, top_inner_products
+from foliospark.llm.chat import perspectives
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
 from foliospark.llm.lines import drop_repeated
@@ -14,6 +16,11 @@ from foliospark.llm.pieces import MODEL, decode_texts, encode_texts
 from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised("embedding").alias("vector"))
+    return top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -37,6 +44,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = perspectives(table(spark, sf_dir, "conversations"))
+    return rows.withColumn("segment_sha256", F.sha2("segment", 256)).drop("segment")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -51,6 +63,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op9_chat_formatting": op9_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op4_toxicity": op4_toxicity,
@@ -58,4 +72,64 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_exact_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+          FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        c(doc_id, r) AS (SELECT doc_id, doc_id FROM w UNION SELECT c.doc_id, e.b FROM c JOIN e ON c.r = e.a)
+        SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c.r) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) GROUP BY w.doc_id""",
+    "op7_benchmark_decontamination": """
+        WITH b AS (
+          SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        i AS (
+          SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[p : p + 9], ' ') AS s
+          FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM b WHERE len(w) > 0)),
+        d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        g AS (
+          SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS s
+          FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+        m AS (SELECT doc_id, item_id, p, g.k FROM g JOIN i ON g.s = i.s AND g.k = i.k),
+        h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + k - 1)) AS q FROM m) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM m) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+          sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_chat_formatting": """
+        WITH p AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'),
+        t AS (
+          SELECT c.conv_id, perspective, turn, role, text, role IS NOT DISTINCT FROM perspective AS own,
+            CASE WHEN role = perspective THEN '<|start|>assistant' || chr(10) WHEN role = 'system' THEN '<|start|>system' || chr(10)
+              WHEN role IS NULL THEN '<|start|>user' || chr(10)
+              ELSE '<|start|>user ' || replace(role, '<|', '<\\|') || chr(10) END AS head,
+            replace(coalesce(text, ''), '<|', '<\\|') || '<|end|>' || chr(10) AS body
+          FROM conversations c JOIN p ON c.conv_id IS NOT DISTINCT FROM p.conv_id),
+        s AS (
+          SELECT *, coalesce(sum(length(head || body)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM t)
+        SELECT conv_id, perspective, turn, role, start, start + length(head || body) AS stop,
+          CASE WHEN own THEN start + length(head) END AS mask_start, CASE WHEN own THEN start + length(head || body) - 1 END AS mask_stop,
+          sha256(head || body) AS segment_sha256
+        FROM s""",
+}
