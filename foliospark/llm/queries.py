@@ -10,6 +10,7 @@ from foliospark.llm.ball_tree import quantised, top_inner_products
 from foliospark.llm.chat import perspectives
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
+from foliospark.llm.html_text import extract_main_text
 from foliospark.llm.lines import drop_repeated
 from foliospark.llm.near_join import near_groups
 from foliospark.llm.pieces import MODEL, decode_texts, encode_texts
@@ -44,6 +45,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = perspectives(table(spark, sf_dir, "conversations"))
     return rows.withColumn("segment_sha256", F.sha2("segment", 256)).drop("segment")
@@ -63,6 +69,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op8_html_extraction": op8_html_extraction,
     "op1_exact_top_k": op1_exact_top_k,
     "op9_chat_formatting": op9_chat_formatting,
     "op2_line_dedup": op2_line_dedup,
