@@ -11,8 +11,10 @@ from foliospark.llm.chat import perspectives
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
 from foliospark.llm.html_text import extract_main_text
+from foliospark.llm.licenses import fit_licenses, scan_licenses
 from foliospark.llm.lines import drop_repeated
 from foliospark.llm.near_join import near_groups
+from foliospark.llm.pii import KINDS, personal_data, spelled
 from foliospark.llm.pieces import MODEL, decode_texts, encode_texts
 from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -27,6 +29,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_licenses(docs, fit_licenses(spark)).where("confirmed")
+    families = found.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("n_paragraphs"))
+    joined = docs.select("doc_id").join(families, "doc_id", "left")
+    return joined.select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -68,7 +78,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
 QUERIES = {
+    "op3_license_scans": op3_license_scans,
+    "op10_personal_data": op10_personal_data,
     "op8_html_extraction": op8_html_extraction,
     "op1_exact_top_k": op1_exact_top_k,
     "op9_chat_formatting": op9_chat_formatting,
