@@ -53,12 +53,19 @@ LABELLED = [
     ("unknown", "train", "The source of the river lies in the north, and the form of the valley is subject to change."),
     ("unknown", "train", "A creative use of the commons was permitted in the village."),
     ("unknown", "train", "Permission to enter the museum is granted free of charge on the first day of the month."),
+    ("unknown", "train", "Er kam mit der Bahn und blieb mit den anderen bis zum Abend in der Stadt."),
+    ("unknown", "train", "Sie ging mit dem Hund durch den Park, und das mit Freude."),
+    ("unknown", "train", "The end."),
+    ("unknown", "train", "Le chat et la souris sont dans la maison avec les enfants."),
+    ("unknown", "train", "El perro de la casa y los gatos que viven en el campo."),
+    ("unknown", "calibrate", "Das Haus mit dem roten Dach steht mit anderen am Ende der Strasse."),
+    ("unknown", "calibrate", "The."),
     ("unknown", "calibrate", "The public library is under the general direction of the city."),
     ("unknown", "calibrate", "He was licensed to teach in the state, and worked at the school for many years."),
     ("unknown", "calibrate", "The copy of the letter was obtained at the sale of the house."),
 ]
 FAMILIES = ("apache", "mit", "gpl", "bsd", "cc", "mpl", "unknown")
-# Probability from which a family is reported, and share of the smaller n-gram set that a template must have in common.
+# Probability from which a family is reported, and share of the smaller set of word pairs that a template must have in common.
 THRESHOLD, CONFIRM = 0.5, 0.5
 
 
@@ -105,7 +112,7 @@ def fit_licenses(spark: SparkSession) -> LicenseModel:
     matrix = model.coefficientMatrix.toArray()
     weights = {gram: [float(x) for x in matrix[:, i]] for i, gram in enumerate(counter.vocabulary)}
     templates = [(FAMILIES[int(y)], sorted(found)) for y, found in train.where(f"y < {len(FAMILIES) - 1}").select("y", "grams").collect()]
-    best = min((t / 20 for t in range(5, 101)), key=loss)
+    best = min((t / 20 for t in range(20, 101)), key=loss)
     return LicenseModel(weights, [float(x) for x in model.interceptVector.toArray()], templates, best)
 
 
@@ -115,21 +122,23 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, threshold: float = TH
     A paragraph is a line of the whole text.  Its distinct words and word pairs meet the model's weights in a broadcast join (their
     number is that of the labelled table), and their sums give calibrated probabilities.  Paragraphs whose best family is unknown,
     or less likely than ``threshold``, are not reported; a paragraph that shares no n-gram with the model is unknown.  A report is
-    confirmed if the paragraph and a template of its family have at least ``confirm`` of the smaller one's n-grams in common.
+    confirmed if the paragraph and a template of its family have at least ``confirm`` of the smaller one's word pairs in common.
 
     Null and empty texts have no paragraphs; repeated rows are reported each; further columns are ignored.
     """
     spark = docs.sparkSession
     k = len(FAMILIES)
     by_gram: dict[str, list[int]] = {}
-    for t, (_, found) in enumerate(model.templates):
+    pairs = [[gram for gram in found if " " in gram] for _, found in model.templates]
+    for t, found in enumerate(pairs):
         for gram in found:
             by_gram.setdefault(gram, []).append(t)
     rows = [{"gram": g, "w": w, "t": by_gram.get(g, [])} for g, w in model.weights.items()]
     weights = _inline(spark, rows, "gram: string, w: array<double>, t: array<int>")
     lines = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
     found = lines.select("doc_id", "row", "paragraph", grams("body").alias("grams"))
-    found = found.select("doc_id", "row", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    n_pairs = F.size(F.filter("grams", lambda g: g.contains(" ")))
+    found = found.select("doc_id", "row", "paragraph", n_pairs.alias("n"), F.explode("grams").alias("gram"))
     # The weights hold as many rows as the labelled paragraphs have n-grams.
     met = found.join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(k)]
@@ -141,8 +150,8 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, threshold: float = TH
     total = F.aggregate("logit", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     scored = scored.withColumn("probability", 1 / total).where((F.col("best") < k) & (F.col("probability") >= threshold))
     overlaps = [
-        F.when(F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("best")) == family, F.col(f"t{t}") / F.least(F.col("n"), F.lit(len(own)))).otherwise(0.0)
-        for t, (family, own) in enumerate(model.templates)
+        F.when(F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("best")) == family, F.col(f"t{t}") / F.greatest(F.least(F.col("n"), F.lit(len(pairs[t]))), F.lit(1))).otherwise(0.0)
+        for t, (family, _) in enumerate(model.templates)
     ]
     overlap = F.greatest(*overlaps)
     return scored.select(
