@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +38,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that join all nodes connected by a verified pair of a common key; members holds (key, node).
+def led_pairs(members: DataFrame, close: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) to verify, bundles (key, node, further columns)) of nodes that share a key.
 
-    ``verify`` keeps the pairs (a, b) that link.  Each node is compared with the smallest node of its keys first.  Only keys
-    whose nodes still belong to several groups need more: nodes outside a key's largest group are paired with all nodes
-    of other groups.  A key on which all agree costs its size; no pair of different groups is left out.
+    ``members`` holds distinct (key, node) and what ``close``, a condition on two rows named a and b, compares; it is tested
+    inside the joins.  The nodes close to the smallest node of their key are its bundle and paired with it; the others are
+    paired with all close nodes of the key.  What remains are pairs inside a bundle, see :func:`bundle_pairs`.
     """
-    lead = members.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
-    members = cut_lineage(members.join(lead, "key"))
-    links = cut_lineage(verify(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()))
-    named = components(links).select("node", F.col("component").alias("grp"))
-    placed = cut_lineage(members.drop("lead").join(named, "node", "left").select("key", "node", F.coalesce("grp", "node").alias("grp")))
+    rest = [c for c in members.columns if c not in ("key", "node")]
+    lead = members.groupBy("key").agg(F.min(F.struct("node", *rest)).alias("lead")).select("key", "lead.*")
+    near = F.expr(f"a.key = b.key and (a.node = b.node or {close})")
+    bundles = cut_lineage(members.alias("a").join(lead.alias("b"), near).select("a.*", F.col("b.node").alias("lead")))
+    loose = cut_lineage(members.join(bundles.select("key", "node"), ["key", "node"], "left_anti").withColumn("loose", F.lit(True)))
+    every = loose.unionByName(bundles.drop("lead").withColumn("loose", F.lit(False)))
+    found = loose.alias("a").join(every.alias("b"), F.expr(f"a.key = b.key and a.node <> b.node and (not b.loose or a.node > b.node) and {close}"))
+    star = bundles.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return star.union(found.select("a.node", "b.node")).distinct(), bundles
+
+
+def bundle_pairs(bundles: DataFrame, groups: DataFrame, close: str) -> DataFrame:
+    """Close pairs (a, b) inside bundles that ``groups`` (node, component) does not join: those outside the largest group of a
+    bundle with all nodes of other groups.  A bundle on which all agree gives none."""
+    placed = bundles.drop("lead").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node")).drop("component")
     sizes = placed.groupBy("key", "grp").agg(F.count(F.lit(1)).alias("nodes"))
-    mixed = sizes.groupBy("key").agg(F.max_by("grp", "nodes").alias("major"), F.count(F.lit(1)).alias("groups")).where("groups > 1").drop("groups")
-    placed = placed.join(mixed, "key")
-    left = placed.where("grp <> major").select("key", F.col("node").alias("a"), F.col("grp").alias("ga"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("grp").alias("gb"), "major")
-    pairs = left.join(right, "key").where("ga <> gb and (gb = major or a < b)").select("a", "b").distinct()
-    return links.unionByName(verify(pairs))
+    mixed = sizes.groupBy("key").agg(F.max_by("grp", "nodes").alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    placed = cut_lineage(placed.join(mixed, "key"))
+    cond = F.expr(f"a.key = b.key and a.grp <> b.grp and (b.grp = b.major or a.node < b.node) and {close}")
+    return placed.where("grp <> major").alias("a").join(placed.alias("b"), cond).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
