@@ -19,7 +19,11 @@ SPACE = "▁"
 # A piece has this mark at its start only, so no piece reaches from one unit into the next.
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 # Characters indexed at once, texts of one batch, units remembered by a task, and units merged one by one.
-INDEX_CHARS, BATCH_CHARS, REMEMBERED, LONG_UNIT = 1 << 20, 1 << 23, 1 << 18, 256
+INDEX_CHARS, BATCH_CHARS, REMEMBERED, LONG_UNIT = 1 << 18, 1 << 20, 200_000, 256
+
+
+# Rows that are decoded and handed back together.
+ROWS = 512
 
 
 @dataclass
@@ -360,9 +364,9 @@ def decode_texts(rows: DataFrame, *, model: str = MODEL, ids: str = "ids", text:
         for byte, i in enumerate(v.bytes_.tolist()):
             if i >= 0:
                 spelled[i] = bytes([byte])
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             column, out = batch.column(ids), []
-            values = column.values.to_numpy(zero_copy_only=False)
+            values = column.values.to_numpy(zero_copy_only=False)  # of the whole batch, to which the offsets refer
             offsets = column.offsets.to_pylist()
             for i, null in enumerate(column.is_null().to_pylist()):
                 if null:
