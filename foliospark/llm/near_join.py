@@ -9,64 +9,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import bitmap, chunks, in_bitmap, mix, shingles, slot
+from foliospark.llm.common import bitmap, chunks, in_bitmap, mix, shingles, slices, slot, sum_slices
 from foliospark.llm.components import components
 from foliospark.session import cut_lineage
+from foliospark.skew import broadcast_if_small
 
 # Counters of the frequency sketch, and the slices in which it is summed.
 BUCKETS, SLICE = 1 << 20, 1 << 14
+# Shingles counted together before those seen once are dropped, and the count from which a shingle is frequent.
+COUNTED, FREQUENT = 1 << 22, 8
 # Longest match requirement a document may choose, and the cost of a verification in look-ups of a posting.
 LEVELS, VERIFY_COST = 4, 30.0
+# Members of a list whose pairs are taken at once; longer lists are compared group by group.
+SHORT_LIST = 16
+# Ids (8 bytes each) up to which a counted table is sent to every task instead of moving texts or sets.
+SMALL_ROWS = 200_000
 
 
 def _profile(words: int):
-    """Rows (doc_id, n, s1, s2) of every text, and at the end the slices of this task's shingle counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("slice", pa.int32()), ("at", pa.binary()), ("counts", pa.binary())])
+    """Rows (doc_id, n, s1, s2) of every text, and packed (tokens, counts) of what a task sees more than once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+
+    def repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1].astype(np.uint32)
+        empty = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array([tokens.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.uint32)
+        held, total = [], 0
         for batch, texts in chunks(batches, "text"):
             sets = shingles(texts, words)
-            for one in sets:
-                counts[(one >> np.uint64(44)).astype(np.int64)] += np.uint32(1) if len(one) else np.uint32(0)
             n = len(texts)
             s1 = np.array([int(s.sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
             s2 = np.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-        parts = [(k, np.flatnonzero(part).astype(np.uint16), part) for k, part in enumerate(counts.reshape(-1, SLICE))]
-        rows = [(k, at.tobytes(), part[at].tobytes()) for k, at, part in parts if len(at)]
-        if rows:
-            empty = pa.nulls(len(rows), pa.int64())
-            k, at, values = zip(*rows)
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(k, pa.int32()), pa.array(at, pa.binary()), pa.array(values, pa.binary())], schema=schema)
+                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+            held += sets
+            total += sum(map(len, sets))
+            if total >= COUNTED:
+                yield repeated(held)
+                held, total = [], 0
+        if total:
+            yield repeated(held)
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the slices that reach this task; memory is one sketch at most."""
-    totals: dict[int, np.ndarray] = {}
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for tokens, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens, np.int64)), pa.array(np.frombuffer(counts, np.uint32).astype(np.int64))], names=["token", "docs"])
+
+
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(BUCKETS)
     for batch in batches:
-        for k, at, values in zip(*(c.to_pylist() for c in batch.columns)):
-            total = totals.setdefault(k, np.zeros(SLICE, np.uint64))
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(values, np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["slice", "counts"])
+        np.add.at(counts, batch.column("bucket").to_numpy(zero_copy_only=False), batch.column("docs").to_numpy(zero_copy_only=False))
+    found = slices(counts, SLICE)
+    if found:
+        yield found
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
-    """Documents per shingle bucket over the whole corpus: 8 MB, whatever the corpus."""
-    slices = profile.where("slice is not null").select("slice", "at", "counts")
-    rows = slices.repartition(BUCKETS // SLICE, "slice").mapInArrow(_summed, "slice int, counts binary").collect()
-    out = np.zeros(BUCKETS, np.uint64)
-    for k, counts in rows:
-        out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(counts, np.uint64)
-    return out.astype(np.float32)
+    """Document counts of frequent shingles by hash bucket, gathered from the whole corpus: 4 MB, whatever the corpus.
+
+    A shingle counts as frequent if tasks have seen it ``FREQUENT`` times in batches in which it came more than once.  The
+    counts only order the tokens and estimate costs, so what they miss costs time and never a link.
+    """
+    seen = profile.where("tokens is not null").select("tokens", "counts").mapInArrow(_unpacked, "token long, docs long")
+    frequent = seen.groupBy("token").agg(F.sum("docs").alias("docs")).where(f"docs >= {FREQUENT}")
+    largest = frequent.groupBy(F.expr(f"cast(shiftrightunsigned(token, {64 - BUCKETS.bit_length() + 1}) as int)").alias("bucket")).agg(F.max("docs").alias("docs"))
+    return sum_slices(largest.mapInArrow(_bucketed, "slice int, at binary, values binary"), BUCKETS, SLICE).astype(np.float32)
 
 
-def prefix(one: np.ndarray, counts: np.ndarray, base: float, percent: int) -> tuple[np.ndarray, int, int]:
-    """(prefix tokens in the common order, length of the single-match prefix, matches required).
+def prefix(one: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, int]:
+    """(prefix tokens in the common order, length of the single-match prefix, matches required, frequent tokens inside).
 
     The order is by estimated document frequency, then hash.  With l matches required the prefix holds
     n - needed + l tokens; l minimises the expected postings read plus the expected candidates, of which there are at
@@ -84,31 +102,31 @@ def prefix(one: np.ndarray, counts: np.ndarray, base: float, percent: int) -> tu
     else:
         inside = np.arange(n)
     order = inside[np.argsort(seen[inside], kind="stable")][:wide]
-    cost = np.cumsum(np.maximum(seen[order] - base, 0.0))
+    cost = np.cumsum(seen[order], dtype=np.float64)
     best, matches = None, 1
     for level in range(1, min(LEVELS, needed) + 1):
         postings = float(cost[min(single + level - 1, wide) - 1])
         price = postings * (1.0 + VERIFY_COST / level)
         if best is None or price < best:
             best, matches = price, level
-    return one[order[: single + matches - 1]], single, matches
+    head = order[: single + matches - 1]
+    return one[head], single, matches, int((seen[head] > 0).sum())
 
 
 def _postings(words: int, percent: int, sketch):
-    """(token, doc, meta) for the prefix of every text; meta packs set size, required matches and the token's level."""
+    """(token, doc, meta) for the prefix of every text; meta packs set size, frequent tokens, required matches and the token's level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        base = float(counts.mean()) + 4.0 * float(np.sqrt(counts.mean()))
         for batch, texts in chunks(batches, "text"):
             tokens, docs, metas = [], [], []
             for doc, one in zip(batch.column("doc_id").to_pylist(), shingles(texts, words)):
                 if len(one):
-                    head, single, matches = prefix(one, counts, base, percent)
+                    head, single, matches, frequent = prefix(one, counts, percent)
                     level = np.maximum(np.arange(len(head)) - single + 2, 1)
                     tokens.append(head.view(np.int64))
                     docs.append(np.full(len(head), doc, np.int64))
-                    metas.append((len(one) << 16) + (matches << 8) + level)
+                    metas.append((len(one) << 32) + (min(frequent, 65535) << 16) + (matches << 8) + np.minimum(level, 255))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, metas)], names=["token", "doc", "meta"])
 
@@ -154,13 +172,42 @@ def _linked(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that link; b may be the leader of many, so it is joined last and Spark can split its rows."""
+    pairs = cut_lineage(pairs)
+    used = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    sets = sets.join(broadcast_if_small(used, SMALL_ROWS), "doc", "left_semi")
     left = sets.select(F.col("doc").alias("a"), F.col("packed").alias("pa"))
     right = sets.select(F.col("doc").alias("b"), F.col("packed").alias("pb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(_linked(percent), "a long, b long")
 
 
-def _size(meta: str):
-    return F.shiftright(meta, 16)
+def _met(pairs: DataFrame, a: str, ma: str, b: str, mb: str) -> DataFrame:
+    """One row per shared prefix token of a pair, with sizes, the matches required and the token's level on both sides."""
+    return pairs.select(
+        F.col(a).alias("a"),
+        F.col(b).alias("b"),
+        F.shiftright(ma, 32).alias("na"),
+        F.shiftright(mb, 32).alias("nb"),
+        F.least(F.expr(f"({ma} >> 8) & 255"), F.expr(f"({mb} >> 8) & 255")).alias("required"),
+        F.greatest(F.expr(f"{ma} & 255"), F.expr(f"{mb} & 255")).alias("level"),
+    )
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """Pairs of the members of short lists; a list's rows lie together behind the join, so no row moves."""
+    members = lists.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("doc", "meta"))).alias("all")).select("all", F.posexplode("all").alias("at", "x"))
+    pairs = members.select("x", F.explode(F.expr("slice(all, at + 2, size(all))")).alias("y"))
+    flat = pairs.select(F.col("x.doc").alias("a"), F.col("x.meta").alias("ma"), F.col("y.doc").alias("b"), F.col("y.meta").alias("mb"))
+    return _met(flat.where("a <> b"), "a", "ma", "b", "mb")
+
+
+def _candidates(met: DataFrame, percent: int, enough: int | None = None) -> DataFrame:
+    """Pairs whose sizes allow the similarity and that share as many tokens of the shorter requirement's prefixes as it asks."""
+    fit = met.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and level <= required")
+    return fit.groupBy("a", "b", "required").agg(F.count(F.lit(1)).alias("met")).where(f"met >= {enough or 'required'}").select("a", "b").distinct()
+
+
+# The leader of a list is the document with most frequent tokens in its prefix: of near copies the one with fewest changes.
+_LEADER = "min(struct(65535 - (shiftright(meta, 16) & 65535) as rarity, doc, meta))"
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -172,16 +219,17 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     whose texts all count.  Other columns are ignored.
 
     Equal sets are grouped by a 128-bit sum first.  For the rest, prefixes in the order of corpus-wide frequency meet in
-    an inverted index.  Members of a posting list are first compared with the list's smallest member; only members of
-    different groups are paired after that, non-members of the list's largest group against all, and a pair must share
-    as many prefix tokens as the less demanding of both documents asks for.  So a group of many near copies costs its
-    size, not its square, and no pair of different groups is skipped.
+    an inverted index.  A pair of a list of at most ``SHORT_LIST`` documents is verified.  In longer lists a pair must share
+    as many prefix tokens as the less demanding of both documents asks for: a pair without short lists has all its shared
+    tokens there.  Their members are first compared with the one that has most frequent tokens; only members of different groups are
+    paired after that, those outside the list's largest group with all.  So a group of many near copies costs its size,
+    not its square, and no pair of different groups is skipped.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = cut_lineage(docs.mapInArrow(_profile(words), "doc_id long, n long, s1 long, s2 long, slice int, at binary, counts binary"))
+    profile = cut_lineage(docs.mapInArrow(_profile(words), "doc_id long, n long, s1 long, s2 long, tokens binary, counts binary"))
     sketch = spark.sparkContext.broadcast(_sketch(profile))
-    rows = profile.where("slice is null").select("doc_id", "n", "s1", "s2")
+    rows = profile.where("tokens is null").select("doc_id", "n", "s1", "s2")
 
     known = rows.where("n > 0 and doc_id is not null")
     same = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
@@ -192,22 +240,28 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     # Only the first of equal sets goes on; a repeated doc_id whose other text is no copy stays.
     alone = known.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select("doc_id")
     again = again.join(alone, "doc_id", "left_anti")
-    fresh = docs.where("doc_id is not null").join(again, "doc_id", "left_anti")
+    fresh = docs.where("doc_id is not null").join(broadcast_if_small(again, SMALL_ROWS), "doc_id", "left_anti")
     postings = fresh.mapInArrow(_postings(words, percent, sketch), "token long, doc long, meta long")
-    shared = postings.groupBy("token").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead <> last").drop("last")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     lists = cut_lineage(postings.join(shared, "token"))
+    near = cut_lineage(_candidates(_listed(lists.where(f"docs <= {SHORT_LIST}")), percent, enough=1))
+    long = lists.where(f"docs > {SHORT_LIST}").drop("docs")
 
-    wanted = spark.sparkContext.broadcast(bitmap(lists.select("doc"), "doc"))
+    used = near.select("a").union(near.select("b")).union(long.select("doc")).withColumnRenamed("a", "doc")
+    wanted = spark.sparkContext.broadcast(bitmap(used.select(slot("doc").alias("slot"))))
     sets = cut_lineage(fresh.withColumn("slot", slot("doc_id")).mapInArrow(_sets(words, wanted), "doc long, packed binary"))
 
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    stars = lists.where("doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
-    links = cut_lineage(equal.unionByName(_verified(stars, sets, percent)))
+    links = cut_lineage(equal.unionByName(_verified(near, sets, percent)))
+    # Long lists: first every member with the list's leader, then members of other groups with the leader of the last group.
+    lead = long.groupBy("token").agg(F.expr(_LEADER).alias("first"))
+    lead = lead.select("token", F.col("first.doc").alias("lead"), F.col("first.meta").alias("lead_meta"))
+    stars = _candidates(_met(long.join(lead, "token").where("doc <> lead"), "doc", "meta", "lead", "lead_meta"), percent)
+    links = cut_lineage(links.unionByName(_verified(stars, sets, percent)))
     groups = components(links)
-    placed = cut_lineage(_placed(lists, groups))
+    placed = cut_lineage(_placed(long, groups))
     crossing = _crossing(placed)
     # A second leader for lists that hold several groups: the first document of the last group.
-    stars = crossing.where("grp <> last_grp and doc <> lead").select(F.col("doc").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = _candidates(_met(crossing.where("grp <> last_grp"), "doc", "meta", "lead", "lead_meta"), percent)
     more = _verified(stars, sets, percent)
     links = cut_lineage(links.unionByName(more))
     placed = cut_lineage(_placed(placed.drop("grp"), components(links)))
@@ -218,19 +272,8 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     mixed = cut_lineage(placed.join(major, "token"))
     left = mixed.where("grp <> major").select("token", F.col("doc").alias("a"), F.col("grp").alias("ga"), F.col("meta").alias("ma"))
     right = mixed.select("token", F.col("doc").alias("b"), F.col("grp").alias("gb"), F.col("meta").alias("mb"), "major")
-    least = F.least(F.expr("(ma >> 8) & 255"), F.expr("(mb >> 8) & 255"))
-    pairs = (
-        left.join(right, "token")
-        .where("ga <> gb and (gb = major or a < b)")
-        .select("a", "b", _size("ma").alias("na"), _size("mb").alias("nb"), least.alias("required"), F.expr("ma & 255").alias("la"), F.expr("mb & 255").alias("lb"))
-        .where(fits)
-        .where("la <= required and lb <= required")
-        .groupBy("a", "b", "required")
-        .agg(F.count(F.lit(1)).alias("met"))
-        .where("met >= required")
-        .select("a", "b")
-        .distinct()
-    )
+    met = left.join(right, "token").where("ga <> gb and (gb = major or a < b)")
+    pairs = _candidates(_met(met, "a", "ma", "b", "mb"), percent)
     links = links.unionByName(_verified(pairs, sets, percent))
     groups = components(links)
     out = rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -245,9 +288,10 @@ def _placed(lists: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _crossing(placed: DataFrame) -> DataFrame:
-    lead = placed.groupBy("token").agg(F.max(F.struct("grp", (-F.col("doc")).alias("minus"))).alias("top"))
-    lead = lead.select("token", F.col("top.grp").alias("last_grp"), (-F.col("top.minus")).alias("lead"))
-    return placed.join(lead, "token")
+    """The postings with the leader of the last group of their list."""
+    last = placed.groupBy("token", "grp").agg(F.expr(_LEADER).alias("first"))
+    lead = last.groupBy("token").agg(F.max_by("first", "grp").alias("first"), F.max("grp").alias("last_grp"))
+    return placed.join(lead.select("token", "last_grp", F.col("first.doc").alias("lead"), F.col("first.meta").alias("lead_meta")), "token")
 
 
 def near_groups_brute(rows: list[tuple], *, words: int = 5, percent: int = 80) -> list[tuple]:
