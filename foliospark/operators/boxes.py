@@ -192,7 +192,7 @@ def snap_to_edges(
     crowded page costs a bounded number of candidates per edge.
     """
     def edges(df: DataFrame, at: dict[str, Sequence[Column]], owner: Column) -> DataFrame:
-        listed = [F.struct(F.lit(axis).alias("_axis"), c.cast("long").alias("_at")) for axis, cs in at.items() for c in cs]
+        listed = [F.struct(F.lit(axis).alias("_axis"), c.alias("_at")) for axis, cs in at.items() for c in cs]
         return df.select(page, F.explode(F.array(*listed)).alias("_e"), owner.alias("_owner")).select(page, "_e.*", "_owner")
 
     own = edges(boxes, {a: (F.col(f"{a}1"), F.col(f"{a}2")) for a in "xy"}, F.col(box))
@@ -266,7 +266,7 @@ def overlap_pairs(
 
 
 def new_boxes_only(
-    new: DataFrame, existing: DataFrame, *, iou: float = 0.45, by: str | Sequence[str] = "panel_id", id: str = "pos",
+    new: DataFrame, existing: DataFrame, *, iou: float = 0.45, by: str | Sequence[str] = "panel_id",
     limit: int | None = FOLD_LIMIT, cell: int = 256,
 ) -> DataFrame:
     """Drop new boxes whose IoU with an existing box of the panel reaches ``iou``."""
@@ -282,9 +282,11 @@ def new_boxes_only(
         cond = same_key(new, by, old, [f"_e_{c}" for c in by]) & F.expr(clash("_e_", ""))
         return new.join(old, cond, "left_anti")
     at = [*by, "_gx", "_gy"]
+    # Rows need no id of their own: the number is fixed by the checkpoint and lives in this step only.
+    new = cut_lineage(new.withColumn("_row", F.monotonically_increasing_id()))
     near, old = _gridded(new, cell), other(_gridded(existing.select(*by, *CORNERS), cell))
     cond = same_key(near, at, old, [f"_e_{c}" for c in at]) & F.expr(clash("_e_", ""))
-    return new.join(near.join(old, cond, "left_semi").select(*by, id).distinct(), [*by, id], "left_anti")
+    return new.join(near.join(old, cond, "left_semi").select("_row").distinct(), "_row", "left_anti").drop("_row")
 
 
 def append_dedup(
@@ -294,7 +296,7 @@ def append_dedup(
     iou: float = 0.45,
     by: str = "panel_id",
     mode: str = "append",
-    reorder: bool = False,
+    reorder: bool = True,
     limit: int | None = FOLD_LIMIT,
 ) -> DataFrame:
     """Merge newly detected boxes into the bubbles of a panel.

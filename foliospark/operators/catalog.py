@@ -114,14 +114,24 @@ def detector_matrix(pages: DataFrame, detectors: Sequence[str] = ("comic", "mang
 
 
 def lookup_settings(
-    df: DataFrame, dim: DataFrame, *, key: str | Sequence[str], default: Mapping[str, object] | None = None
+    df: DataFrame, dim: DataFrame, *, key: str | Sequence[str], default: Mapping[str, object] | None = None,
+    unknown: str = "default",
 ) -> DataFrame:
-    """Attach the columns of ``dim`` by key; unknown keys get ``default``, or null without one."""
+    """Attach the columns of ``dim`` by key; unknown keys get ``default`` (null without one), or with ``unknown="error"`` fail.
+
+    Null values of known keys stay null.
+    """
+    if unknown not in ("default", "error"):
+        raise ValueError("unknown: default | error")
     key = names(key)
-    out = df.join(broadcast_if_small(dim), key, "left")
+    out = df.join(broadcast_if_small(dim.withColumn("_known", F.lit(True))), key, "left")
+    if unknown == "error":
+        name = F.concat_ws("/", *[F.col(k).cast("string") for k in key])
+        checked = F.coalesce("_known", F.raise_error(F.concat(F.lit("unknown key: "), name)).cast("boolean"))
+        return out.where(checked).drop("_known")
     if default:
-        out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in default.items()})
-    return out
+        out = out.withColumns({c: F.when(F.col("_known"), F.col(c)).otherwise(F.lit(v)) for c, v in default.items()})
+    return out.drop("_known")
 
 
 # Detector specifications (id, number of classes, panel class).
@@ -186,22 +196,30 @@ def layer_settings(
     base: DataFrame, patch: DataFrame, *, enums: Mapping[str, Sequence[str]] | None = None,
     key: Sequence[str] = ("section", "key"), value: str = "value",
 ) -> DataFrame:
-    """Overlay wins per key; a null overlay keeps the base, '' clears, enum keys only take allowed values."""
+    """Overlay wins per key; a null overlay keeps the base, '' clears, enum keys only take allowed values.
+
+    Every key of the base stays, also one whose value is null.
+    """
     key = list(key)
-    layered = (base.select(*key, F.col(value).alias("_base"))
+    layered = (base.select(*key, F.col(value).alias("_base"), F.lit(True).alias("_in_base"))
                .join(patch.select(*key, F.col(value).alias("_patch")), key, "full_outer"))
     allowed = F.col("_patch").isNotNull()
     for field, values in (enums or {}).items():
         allowed = allowed & ((F.col(key[-1]) != field) | F.col("_patch").isin(*values))
     merged = F.when(allowed, F.col("_patch")).otherwise(F.col("_base"))
-    return layered.withColumn(value, merged).where(F.col(value).isNotNull()).select(*key, value)
+    return layered.withColumn(value, merged).where(F.col(value).isNotNull() | F.col("_in_base")).select(*key, value)
 
 
 def sync_panels(
     source: DataFrame, target: DataFrame, *, mode: str = "replace", key: Sequence[str] = ("project", "name"),
-    same_place: bool = False,
+    same_place: bool = False, extensions: Sequence[str] | None = None,
 ) -> DataFrame:
-    """New content of the target: exactly the source (``replace``), or the source over the old (``append``)."""
+    """New content of the target: exactly the source (``replace``), or the source over the old (``append``).
+
+    ``extensions`` (lower case, without dot) restricts what is taken from the source to names that end in one of them.
+    """
+    if extensions is not None:
+        source = source.where(F.lower(F.regexp_extract(key[-1], r"\.([^.]+)$", 1)).isin(*extensions))
     if same_place:
         return target
     if mode == "replace":

@@ -19,6 +19,8 @@ LUMA_BGR = np.array([0.114, 0.587, 0.299])
 
 # Crop windows carried by one copy of a page image.
 WINDOWS_PER_IMAGE = 1_000
+# Crops handed back at a time.
+CROPS_PER_BATCH = 256
 
 
 def pixels(row) -> np.ndarray:
@@ -40,6 +42,11 @@ def luminance(array: np.ndarray) -> np.ndarray:
     return np.rint(array[:, :, :3] @ LUMA_BGR)
 
 
+def readable(row) -> bool:
+    """False for a null image and for the rows Spark keeps for unreadable files."""
+    return row.data is not None and row.height == row.height and bool(row.height) and row.height > 0
+
+
 def _rewrite(transform):
     """Arrow UDF image → image; unreadable images (height below 1) become null."""
 
@@ -47,7 +54,7 @@ def _rewrite(transform):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = ["origin", "height", "width", "nChannels", "mode", "data"]
         for batch in batches:
-            rows = [image_dict(r.origin, transform(pixels(r))) if r.data is not None and r.height and r.height > 0
+            rows = [image_dict(r.origin, transform(pixels(r))) if readable(r)
                     else dict.fromkeys(fields) for r in batch.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=fields)
 
@@ -84,7 +91,8 @@ def mean_luminance(image: Column | str) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([float(luminance(pixels(r)).mean()) for r in batch.itertuples(index=False)], dtype="float64")
+            yield pd.Series([float(luminance(pixels(r)).mean()) if readable(r) else None for r in batch.itertuples(index=False)],
+                            dtype="object").astype("Float64")
 
     return run(image)
 
@@ -105,7 +113,7 @@ def image_seam_score(image: Column | str, block: int = 64) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([score(pixels(r)) for r in batch.itertuples(index=False)], dtype="object").astype("Float64")
+            yield pd.Series([score(pixels(r)) if readable(r) else None for r in batch.itertuples(index=False)], dtype="object").astype("Float64")
 
     return run(image)
 
@@ -117,28 +125,32 @@ def crop_regions(
     """One ``crop`` row per window (``wx1..wy2``; ``empty`` gives a 1×1 black placeholder).
 
     Windows are gathered per page first, so image bytes meet the shuffle once per page, and pages
-    with very many windows once per ``per_image`` of them.
+    with very many windows once per ``per_image`` of them.  Null and unreadable images give no crop.
     """
     empty = F.col("empty") if "empty" in windows.columns else F.lit(False)
     slim = windows.select(page, id, "wx1", "wy1", "wx2", "wy2", empty.alias("empty"))
     parts = in_parts(slim, page, [id], "_part", size=per_image)
     box = F.struct(id, "wx1", "wy1", "wx2", "wy2", "empty")
     lists = parts.groupBy(page, "_part").agg(F.collect_list(box).alias("_w"))
-    joined = lists.join(pages.select(page, F.col(image).alias("_image")), page)
+    shown = pages.select(page, F.col(image).alias("_image")).where("_image.data is not null and _image.height > 0")
+    joined = lists.join(shown, page)
     types = {f.name: f.dataType.simpleString() for f in windows.schema}
     schema = f"{page} {types[page]}, {id} {types[id]}, crop {IMAGE_TYPE}"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out: list[dict] = []
             for key, boxes, img in zip(batch[page], batch["_w"], batch["_image"]):
                 array = np.frombuffer(img["data"], np.uint8).reshape(img["height"], img["width"], img["nChannels"])
-                out = []
                 for b in boxes:
                     part = (np.zeros((1, 1, array.shape[2]), np.uint8) if b["empty"]
                             else array[b["wy1"]:b["wy2"], b["wx1"]:b["wx2"]])
                     if part.size:
                         out.append({page: key, id: b[id], "crop": image_dict(img["origin"], part)})
-                if out:
+                if len(out) >= CROPS_PER_BATCH:
                     yield pd.DataFrame(out)
+                    out = []
+            if out:
+                yield pd.DataFrame(out)
 
     return joined.mapInPandas(cut, schema)

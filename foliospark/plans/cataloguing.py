@@ -407,12 +407,12 @@ SELECT conv_id, turn, CASE WHEN turn % 4 = 0 AND trim(text) <> '' THEN text ELSE
     "merge_text_lines": """
 WITH line AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS text FROM documents, range(1, 100000) AS g(i)
               WHERE i <= len(string_split(text, chr(10))))
-SELECT doc_id, CAST(0 AS BIGINT) AS part_no, string_agg(trim(text), chr(10) ORDER BY (pos * 37) % 101, pos) AS text
+SELECT doc_id, string_agg(trim(text), chr(10) ORDER BY (pos * 37) % 101, pos) AS text
 FROM line WHERE pos % 7 <> 6 AND trim(text) <> '' GROUP BY doc_id""",
     "merge_text_simple": """
 WITH line AS (SELECT doc_id, i - 1 AS pos, string_split(text, chr(10))[i] AS text FROM documents, range(1, 100000) AS g(i)
               WHERE i <= len(string_split(text, chr(10))))
-SELECT doc_id, CAST(0 AS BIGINT) AS part_no, trim(string_agg(trim(text), ' ' ORDER BY pos)) AS text
+SELECT doc_id, trim(string_agg(trim(text), ' ' ORDER BY pos)) AS text
 FROM line WHERE pos % 7 <> 6 GROUP BY doc_id""",
     "map_merge_rows": "SELECT c_custkey, c_nationkey AS a, c_nationkey + 2 AS b, 3 AS c FROM customer",
     "parse_request_lines": """

@@ -144,7 +144,7 @@ def _found(t: Tables):
 
 def append_dedup(spark, d):
     t = Tables(spark, d)
-    return B.append_dedup(_even_ids(t), _found(t)).drop("pos")
+    return B.append_dedup(_even_ids(t), _found(t), reorder=False).drop("pos")
 
 
 def append_reordered(spark, d):
