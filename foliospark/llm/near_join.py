@@ -18,8 +18,9 @@ from foliospark.skew import broadcast_if_small
 BUCKETS, SLICE = 1 << 20, 1 << 14
 # Shingles counted together before those seen once are dropped, and the count from which a shingle is frequent.
 COUNTED, FREQUENT = 1 << 22, 8
-# Longest match requirement a document may choose, and the cost of a verification in look-ups of a posting.
-LEVELS, VERIFY_COST = 4, 30.0
+# Match requirements a document may choose from; cost of a verification for each shingle of the document in postings, and
+# documents expected to share a shingle that is not frequent.
+LEVELS, VERIFY_COST, RARE = (1, 2, 4, 8, 16, 32, 64, 128, 250), 0.4, 0.05
 # Members of a list whose pairs are taken at once; longer lists are compared group by group.
 SHORT_LIST = 16
 # Ids (8 bytes each) up to which a counted table is sent to every task instead of moving texts or sets.
@@ -86,29 +87,25 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 def prefix(one: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, int]:
     """(prefix tokens in the common order, length of the single-match prefix, matches required, frequent tokens inside).
 
-    The order is by estimated document frequency, then hash.  With l matches required the prefix holds
-    n - needed + l tokens; l minimises the expected postings read plus the expected candidates, of which there are at
-    most postings / l.
+    The order is by estimated document frequency, then hash.  With l matches required the prefix holds n - needed + l
+    tokens; l minimises the postings written and met plus the cost of verifying the candidates, of which there are at most
+    postings met / l.
     """
     n = len(one)
     seen = counts[(one >> np.uint64(44)).astype(np.int64)]
     needed = -(-n * percent // 100)
     single = n - needed + 1
-    wide = min(n, single + LEVELS - 1)
+    levels = [level for level in LEVELS if level <= needed]
+    wide = single + levels[-1] - 1
     if wide < n:
-        near = np.argpartition(seen, wide - 1)
-        limit = seen[near[wide - 1]]
+        limit = np.partition(seen, wide - 1)[wide - 1]
         inside = np.flatnonzero(seen <= limit)
     else:
         inside = np.arange(n)
     order = inside[np.argsort(seen[inside], kind="stable")][:wide]
-    cost = np.cumsum(seen[order], dtype=np.float64)
-    best, matches = None, 1
-    for level in range(1, min(LEVELS, needed) + 1):
-        postings = float(cost[min(single + level - 1, wide) - 1])
-        price = postings * (1.0 + VERIFY_COST / level)
-        if best is None or price < best:
-            best, matches = price, level
+    met = np.cumsum(seen[order] + RARE, dtype=np.float64)
+    prices = [single + level + met[single + level - 2] * (1.0 + VERIFY_COST * n / level) for level in levels]
+    matches = levels[int(np.argmin(prices))]
     head = order[: single + matches - 1]
     return one[head], single, matches, int((seen[head] > 0).sum())
 
@@ -200,10 +197,26 @@ def _listed(lists: DataFrame) -> DataFrame:
     return _met(flat.where("a <> b"), "a", "ma", "b", "mb")
 
 
-def _candidates(met: DataFrame, percent: int, enough: int | None = None) -> DataFrame:
-    """Pairs whose sizes allow the similarity and that share as many tokens of the shorter requirement's prefixes as it asks."""
+def _counted(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes allow the similarity, with the tokens they share in the prefixes of the shorter requirement."""
     fit = met.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and level <= required")
-    return fit.groupBy("a", "b", "required").agg(F.count(F.lit(1)).alias("met")).where(f"met >= {enough or 'required'}").select("a", "b").distinct()
+    return fit.groupBy("a", "b", "required").agg(F.count(F.lit(1)).alias("met"))
+
+
+def _candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many tokens as the less demanding document asks for."""
+    return _counted(met, percent).where("met >= required").select("a", "b").distinct()
+
+
+def _short_candidates(met: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """The same for pairs met in short lists; what they may share in long lists besides is bounded by each one's tokens there."""
+    inside = long.groupBy("doc").agg(F.count(F.lit(1)).alias("more"))
+    pairs = _counted(met, percent)
+    for side in "ab":
+        own = inside.select(F.col("doc").alias(side), F.col("more").alias(f"more_{side}"))
+        pairs = pairs.join(own, side, "left")
+    enough = "met + least(coalesce(more_a, 0), coalesce(more_b, 0)) >= required"
+    return pairs.where(enough).select("a", "b").distinct()
 
 
 # The leader of a list is the document with most frequent tokens in its prefix: of near copies the one with fewest changes.
@@ -219,9 +232,9 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     whose texts all count.  Other columns are ignored.
 
     Equal sets are grouped by a 128-bit sum first.  For the rest, prefixes in the order of corpus-wide frequency meet in
-    an inverted index.  A pair of a list of at most ``SHORT_LIST`` documents is verified.  In longer lists a pair must share
-    as many prefix tokens as the less demanding of both documents asks for: a pair without short lists has all its shared
-    tokens there.  Their members are first compared with the one that has most frequent tokens; only members of different groups are
+    an inverted index.  A pair is verified if it shares as many prefix tokens as the less demanding of both documents asks for.
+    Lists of at most ``SHORT_LIST`` documents give all their pairs, and what those may share in longer lists is bounded by each
+    one's tokens there; other pairs have all their shared tokens in longer lists.  The longer lists' members are first compared with the one that has most frequent tokens; only members of different groups are
     paired after that, those outside the list's largest group with all.  So a group of many near copies costs its size,
     not its square, and no pair of different groups is skipped.
     """
@@ -244,8 +257,8 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     postings = fresh.mapInArrow(_postings(words, percent, sketch), "token long, doc long, meta long")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     lists = cut_lineage(postings.join(shared, "token"))
-    near = cut_lineage(_candidates(_listed(lists.where(f"docs <= {SHORT_LIST}")), percent, enough=1))
     long = lists.where(f"docs > {SHORT_LIST}").drop("docs")
+    near = cut_lineage(_short_candidates(_listed(lists.where(f"docs <= {SHORT_LIST}")), long, percent))
 
     used = near.select("a").union(near.select("b")).union(long.select("doc")).withColumnRenamed("a", "doc")
     wanted = spark.sparkContext.broadcast(bitmap(used.select(slot("doc").alias("slot"))))
