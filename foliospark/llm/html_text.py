@@ -116,6 +116,15 @@ LABELLED = """
 60 0 0 0 0 0 0 0 0 0 1
 30 0 0 0 45 0 0 0 0 0 1
 26 0 70 0 0 0 0 0 0 0 1
+3 0 1 1 8 0 1 0 0 1 1
+6 0 2 1 40 0 1 0 0 1 1
+12 0 1 1 60 0 1 0 0 1 1
+4 0 1 1 30 0 1 0 0 0 1
+8 0 3 0.9 12 0 1 0 0 0 1
+5 0 4 1 0 0 1 0 0 0 1
+10 0 1 1 3 1 1 0 0 0 1
+2 0 1 1 1 1 1 0 0 0 1
+45 0 5 1 4 1 1 0 0 0 1
 """
 
 

@@ -345,7 +345,7 @@ def encode_texts(docs: DataFrame, *, model: str = MODEL, text: str = "text", ids
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
 
-    return kept.mapInArrow(run, kept.withColumn(ids, F.array().cast("array<int>")).schema)
+    return kept.mapInArrow(run, kept.withColumn(ids, F.lit(None).cast("array<int>")).schema)
 
 
 def decode_texts(rows: DataFrame, *, model: str = MODEL, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -376,4 +376,4 @@ def decode_texts(rows: DataFrame, *, model: str = MODEL, ids: str = "ids", text:
                 out.append(raw[1 if v.prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
-    return kept.mapInArrow(run, kept.withColumn(text, F.lit("").cast("string")).schema)
+    return kept.mapInArrow(run, kept.withColumn(text, F.lit(None).cast("string")).schema)
