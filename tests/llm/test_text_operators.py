@@ -112,15 +112,16 @@ def test_toxicity(spark):
     assert {r.predicted for r in none} == {0}
 
 
-def test_toxicity_held_out(spark, tmp_path):
-    """Accuracy on the rows that were not trained on."""
-    folder = "/root/testdata/sf0.01"
+def test_toxicity_held_out(spark):
+    """Accuracy on the rows that were not trained on: 825, of which 97 are toxic."""
+    folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rows = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).where(toxicity.held_out()).join(labels, "doc_id").collect()
     bad = [r.score for r in rows if r.toxic == 1]
     good = [r.score for r in rows if r.toxic == 0]
-    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good)) > 0.75
-    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.02 * len(good)
+    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good)) > 0.95
+    assert sum(r.predicted for r in rows if r.toxic == 0) <= 0.01 * len(good)
+    assert sum(r.predicted for r in rows if r.toxic == 1) >= 0.75 * len(bad)
 
 
 def test_base_spans():
