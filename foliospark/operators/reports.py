@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.text import strip
-from foliospark.skew import names
+from foliospark.skew import names, number_rows
 
 
 def source_totals(pages: DataFrame, panels: DataFrame, *, source: str = "source_id", page: str = "page_id") -> DataFrame:
@@ -149,14 +147,32 @@ def largest_polygon(polys: DataFrame, *, by: str | Sequence[str], id: str, point
             .select(*by, F.col(f"_b.{id}").alias(id), F.col("_b._area").alias("area")))
 
 
-def dominant_cluster(vectors: DataFrame, *, features: str = "embedding", k: int = 3, seed: int = 42) -> DataFrame:
-    """Centre and size of the largest of ``k`` clusters."""
-    data = vectors.select(array_to_vector(F.transform(features, lambda v: v.cast("double"))).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features").fit(data)
-    sizes = model.transform(data).groupBy("prediction").agg(F.count(F.lit(1)).alias("members"))
-    top = sizes.orderBy(F.desc("members"), "prediction").limit(1)
-    centres = data.sparkSession.createDataFrame(
-        [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centre array<double>")
-    return top.join(centres, "prediction").select("prediction", "members", "centre")
-
+def dominant_cluster(
+    points: DataFrame, *, by: str | Sequence[str], point: str = "point", k: int = 3, steps: int = 3, digits: int = 6
+) -> DataFrame:
+    """Centre and size of the largest of ``k`` clusters per key (an image, say): key, ``cluster``, ``members``, ``centre``.
 
+    The first centres are the key's ``k`` smallest distinct points; each of ``steps`` steps assigns every point to the nearest
+    centre (the first of equally near ones) and moves the centres to the means, rounded to ``digits``.  A cluster that loses all
+    its points goes.  Null points are ignored.
+    """
+    by = names(by)
+    data = points.where(F.col(point).isNotNull()).select(*by, F.transform(point, lambda v: v.cast("double")).alias("_v"))
+    # Only the k smallest points per key are held, also while they are gathered.
+    first = number_rows(data.distinct(), by, ["_v"], "_c").where(F.col("_c") <= k)
+    centres = first.select(*by, (F.col("_c") - 1).cast("int").alias("cluster"), F.col("_v").alias("centre"))
+    for _ in range(steps):
+        listed = centres.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("_centres"))
+        apart = F.transform("_centres", lambda c: F.struct(_distance(F.col("_v"), c["centre"]).alias("d"), c["cluster"].alias("cluster")))
+        placed = data.join(listed, by).select(*by, "_v", F.array_min(apart)["cluster"].alias("cluster"))
+        means = placed.select(*by, "cluster", F.posexplode("_v").alias("_i", "_x")).groupBy(*by, "cluster", "_i").agg(
+            F.round(F.avg("_x"), digits).alias("_x"), F.count(F.lit(1)).alias("members"))
+        # One entry per dimension of the points.
+        rows = F.sort_array(F.collect_list(F.struct("_i", "_x")))
+        centres = means.groupBy(*by, "cluster").agg(F.max("members").alias("members"), F.transform(rows, lambda r: r["_x"]).alias("centre"))
+    best = F.max_by(F.struct("cluster", "members", "centre"), F.struct("members", -F.col("cluster")))
+    return centres.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, d: total + d)

@@ -97,8 +97,9 @@ def largest_polygon(spark, d):
 
 
 def dominant_cluster(spark, d):
-    found = R.dominant_cluster(Tables(spark, d).read("embeddings"))
-    return found.select("members", F.size("centre").alias("dims"))
+    found = R.dominant_cluster(Tables(spark, d).read("embeddings"), by="label", point="embedding")
+    total = F.aggregate("centre", F.lit(0.0), lambda t, x: t + x)
+    return found.select("label", "cluster", "members", F.size("centre").alias("dims"), F.round(total, 4).alias("centre_sum"))
 
 
 # --- timelines -----------------------------------------------------------------------------------
@@ -240,7 +241,20 @@ QUERIES = {f.__name__: f for f in (
     seam_score, polygon_stats, largest_polygon, dominant_cluster, fit_16_9, frame_schedule, clip_timeline,
     relative_keypoints, invert_dark, mean_luminance, image_seam_score, composite_on_white, crop_regions, recognize_crops)}
 
+_MOVED = "".join(f"""
+a{n} AS (SELECT label, v, arg_min(c, d) AS c FROM (SELECT p.label, p.n, p.v, m.c, struct_pack(d := list_sum(list_transform(
+    generate_series(1, len(p.v)), lambda i: (p.v[i] - m.m[i]) * (p.v[i] - m.m[i]))), c := m.c) AS d FROM p JOIN c{n} m USING (label)) GROUP BY label, n, v),
+x{n} AS (SELECT label, c, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM a{n}),
+y{n} AS (SELECT label, c, i, round(avg(x), 6) AS x, count(*) AS members FROM x{n} GROUP BY label, c, i),
+c{n + 1} AS (SELECT label, c, max(members) AS members, list(x ORDER BY i) AS m FROM y{n} GROUP BY label, c),""" for n in range(3))
+
 ORACLE = {
+    "dominant_cluster": f"""
+WITH p AS (SELECT label, vec_id AS n, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+c0 AS (SELECT label, c - 1 AS c, v AS m FROM (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY v) AS c
+       FROM (SELECT DISTINCT label, v FROM p)) WHERE c <= 3),{_MOVED}
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY members DESC, c) AS k FROM c3)
+SELECT label, c::INTEGER AS cluster, members, len(m)::INTEGER AS dims, round(list_sum(m), 4) AS centre_sum FROM r WHERE k = 1""",
     "source_totals": f"""{views('page', 'det')},
 found AS (SELECT page_id, count(*) AS n FROM det WHERE score > 350 GROUP BY page_id)
 SELECT source_id, count(*) AS pages_processed, CAST(sum(CASE WHEN p.page_id % 13 = 0 THEN 0 ELSE coalesce(n, 0) END) AS BIGINT) AS panels_total
