@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 
@@ -57,7 +58,8 @@ def recognize(
 
     The local engine sees every non-empty crop of a batch, the cloud engine only those left blank;
     both work in one pass, so no crop is decoded or recognised twice.  An empty crop gives ''.
-    A failing local engine hands its whole batch to the cloud engine, or fails without one.
+    When the local engine fails on a batch it is asked again crop by crop, and only the crops it fails on go to the cloud
+    engine; without one the failure is raised.
     """
     types = {f.name: f.dataType.simpleString() for f in crops.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", text string, engine string, ocr_ms double"
@@ -75,15 +77,26 @@ def recognize(
             out["text"], out["engine"], out["ocr_ms"] = "", "siliconflow" if cloud else "paddle", 0.0
             filled = values.map(lambda v: v is not None and bool(v["data"])).astype(bool)
             where = values.index[filled]
+            read: dict[int, str] = {}
             try:
                 texts, ms = timed(first, values[where])
-                out.loc[where, "text"], out.loc[where, "ocr_ms"] = texts, ms
-                good = where[[bool(t.strip()) for t in texts]]
-                out.loc[good, "engine"] = "paddle"
+                read = dict(zip(where, texts))
+                out.loc[where, "ocr_ms"] = ms
             except Exception:
                 if cloud is None:
                     raise
-                good = where[:0]
+                for i in where:
+                    try:
+                        texts, ms = timed(first, values[[i]])
+                    except Exception as error:
+                        logging.getLogger(__name__).warning("local engine failed on a crop: %s", error)
+                        continue
+                    read[i] = texts[0]
+                    out.loc[i, "ocr_ms"] = ms
+            for i, text in read.items():
+                out.loc[i, "text"] = text
+            good = where[[bool(read.get(i, "").strip()) for i in where]] if len(where) else where
+            out.loc[good, "engine"] = "paddle"
             blank = where.difference(good)
             if cloud is not None and len(blank):
                 texts, ms = timed(load_once(f"{engine}/cloud", cloud), values[blank])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +48,24 @@ def scan_single_image(spark: SparkSession, path: str) -> DataFrame:
 
 ENTRY_TYPE = T.StructType([
     T.StructField("entry", T.StringType()), T.StructField("name", T.StringType()),
-    T.StructField("page_num", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    T.StructField("page_num", T.IntegerType()), T.StructField("data", T.BinaryType()), T.StructField("error", T.StringType())])
 
 
 @F.udtf(returnType=ENTRY_TYPE)
 class ZipEntries:
-    """Page entries of one archive in order of their full names; ``name`` is unique per archive."""
+    """Page entries of one archive in order of their full names; ``name`` is unique per archive.
 
-    def eval(self, content: bytes) -> Iterator[tuple]:
+    An archive that cannot be read gives one row with an error only, an entry that cannot be read one without data.
+    """
+
+    def eval(self, content: bytes | None) -> Iterator[tuple]:
+        try:
+            yield from self.entries(content or b"")
+        except (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, EOFError) as error:
+            yield None, None, None, None, f"cannot read archive: {error}"
+
+    @staticmethod
+    def entries(content: bytes) -> Iterator[tuple]:
         used: set[str] = set()
         page = 0
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -68,7 +79,11 @@ class ZipEntries:
                     name, n = f"{stem}_{n}{dot}{ext}", n + 1
                 used.add(name)
                 page += 1
-                yield info.filename, name, page, archive.read(info)
+                try:
+                    data, error = archive.read(info), None
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as bad:
+                    data, error = None, f"cannot read entry: {bad}"
+                yield info.filename, name, page, data, error
 
 
 def zip_entries(archives: DataFrame) -> DataFrame:
@@ -87,16 +102,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.option("pathGlobFilter", _any_case(ARCHIVE_EXTENSIONS)).load(path).select("path", "content")
 
 
-def expand_archives(archives: DataFrame, *, unique_names: bool = False) -> DataFrame:
+def expand_archives(archives: DataFrame, *, unique_names: bool = False, unreadable: str = "skip") -> DataFrame:
     """Pages of archives: ``source_id, page_num, name, data``.
 
+    Archives and entries that cannot be read are skipped, or kept without data and with a column ``error``
+    (``unreadable="keep"``), so one bad file does not fail a folder.
+
     ``name`` is the full entry name, or with ``unique_names`` the base name made unique by ``_2``,
     ``_3``…; then ``cache_key`` (stem and twelve digits of the path hash) names the extraction.
     """
+    if unreadable not in ("skip", "keep"):
+        raise ValueError("unreadable: skip | keep")
     pages = zip_entries(archives)
+    pages, more = (pages, ["error"]) if unreadable == "keep" else (pages.where("error is null"), [])
     if not unique_names:
-        return pages.select(F.col("path").alias("source_id"), "page_num", F.col("entry").alias("name"), "data")
-    return pages.select(F.col("path").alias("source_id"), "page_num", "name", "data", cache_key("path").alias("cache_key"))
+        return pages.select(F.col("path").alias("source_id"), "page_num", F.col("entry").alias("name"), "data", *more)
+    return pages.select(F.col("path").alias("source_id"), "page_num", "name", "data", cache_key("path").alias("cache_key"), *more)
 
 
 def cache_key(path: str):

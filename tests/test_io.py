@@ -71,6 +71,10 @@ def test_single_image(spark, folder):
 def test_archives(spark, folder):
     archives = P.read_archives(spark, folder)
     assert rows(P.expand_archives(archives), "page_num", "name") == [(1, "1.png"), (2, "2_2.png"), (3, "x/2.png"), (4, "y/2.png")]
+    mixed = archives.unionByName(spark.createDataFrame([("bad.zip", bytearray(b"PK no archive")), ("none.zip", None)], "path string, content binary"))
+    assert P.expand_archives(mixed).count() == 4
+    kept = P.expand_archives(mixed, unreadable="keep")
+    assert sorted(r.source_id for r in kept.where("error is not null").collect()) == ["bad.zip", "none.zip"] and kept.count() == 6
     unique = P.expand_archives(archives, unique_names=True)
     assert rows(unique, "page_num", "name") == [(1, "1.png"), (2, "2_2.png"), (3, "2.png"), (4, "2_3.png")]
     key = unique.select("cache_key").first()[0]
