@@ -282,10 +282,14 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     # What is left: pairs of different groups that share a prefix token.
     sizes = placed.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("rows"))
     major = sizes.groupBy("token").agg(F.max_by("grp", "rows").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
-    mixed = cut_lineage(placed.join(major, "token"))
-    left = mixed.where("grp <> major").select("token", F.col("doc").alias("a"), F.col("grp").alias("ga"), F.col("meta").alias("ma"))
-    right = mixed.select("token", F.col("doc").alias("b"), F.col("grp").alias("gb"), F.col("meta").alias("mb"), "major")
-    met = left.join(right, "token").where("ga <> gb and (gb = major or a < b)")
+    # A document with fewer tokens in such lists than a pair requires cannot be part of it.
+    held = placed.join(major, "token")
+    tokens = held.groupBy("doc").agg(F.count(F.lit(1)).alias("inside"))
+    mixed = cut_lineage(held.join(tokens, "doc"))
+    left = mixed.where("grp <> major").select("token", F.col("doc").alias("a"), F.col("grp").alias("ga"), F.col("meta").alias("ma"), F.col("inside").alias("ia"))
+    right = mixed.select("token", F.col("doc").alias("b"), F.col("grp").alias("gb"), F.col("meta").alias("mb"), F.col("inside").alias("ib"), "major")
+    possible = "least(ia, ib) >= least((ma >> 8) & 255, (mb >> 8) & 255)"
+    met = left.join(right, "token").where(f"ga <> gb and (gb = major or a < b) and {possible}")
     pairs = _candidates(_met(met, "a", "ma", "b", "mb"), percent)
     links = links.unionByName(_verified(pairs, sets, percent))
     groups = components(links)
