@@ -168,7 +168,7 @@ def _linked(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link; b may be the leader of many, so it is joined last and Spark can split its rows."""
+    """Pairs (a, b) that link; either may be the leader of many, whose rows Spark can split in both joins."""
     pairs = cut_lineage(pairs)
     used = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = sets.join(broadcast_if_small(used, SMALL_ROWS), "doc", "left_semi")
@@ -178,10 +178,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(pairs: DataFrame, a: str, ma: str, b: str, mb: str) -> DataFrame:
-    """One row per shared prefix token of a pair, with sizes, the matches required and the token's level on both sides."""
+    """One row per shared prefix token of a pair, with sizes, the matches required and the token's level on both sides.
+
+    The smaller document comes first whatever its role in a list, so that a pair's tokens from several lists count together.
+    """
     return pairs.select(
-        F.col(a).alias("a"),
-        F.col(b).alias("b"),
+        F.least(a, b).alias("a"),
+        F.greatest(a, b).alias("b"),
         F.shiftright(ma, 32).alias("na"),
         F.shiftright(mb, 32).alias("nb"),
         F.least(F.expr(f"({ma} >> 8) & 255"), F.expr(f"({mb} >> 8) & 255")).alias("required"),
@@ -281,7 +284,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
 
     # What is left: pairs of different groups that share a prefix token.
     sizes = placed.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("rows"))
-    major = sizes.groupBy("token").agg(F.max_by("grp", "rows").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    major = sizes.groupBy("token").agg(F.max_by("grp", F.struct("rows", "grp")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     # A document with fewer tokens in such lists than a pair requires cannot be part of it.
     held = placed.join(major, "token")
     tokens = held.groupBy("doc").agg(F.count(F.lit(1)).alias("inside"))

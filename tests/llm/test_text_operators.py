@@ -47,6 +47,20 @@ def test_near_groups_empty(spark):
     assert [tuple(r) for r in near_join.near_groups(frame(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+def test_near_groups_bridge(spark, monkeypatch):
+    """Two families of one size joined by a pair whose two required tokens lie in a list of each family."""
+    monkeypatch.setattr(near_join, "LEVELS", (2,))
+    common = "c1 c2 c3 c4 c5 c6"
+    rows = [(0, f"ua x1 w {common}"), (100, f"ub x2 w {common}")]
+    rows += [(1 + i, f"ua x1 a{i} {common}") for i in range(20)] + [(101 + i, f"ub x2 b{i} {common}") for i in range(20)]
+    rows += [(190, f"ua x1 x2 {common}"), (191, f"ub x1 x2 {common}")]
+    rows += [(200 + i, "w " + " ".join(f"n{i}x{k}" for k in range(8))) for i in range(8)]
+    got = near_join.near_groups(frame(spark, rows).coalesce(1), words=1).collect()
+    want = near_join.near_groups_brute(rows, words=1)
+    assert {label for doc, _, label in want if doc < 200} == {0}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
