@@ -83,6 +83,21 @@ def test_drop_repeated(spark, monkeypatch, limit):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_drop_repeated_one_word(spark):
+    """Near copies with one replaced word, whose SimHashes differ in many bits, against edit similarity alone."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(30):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([4, 6, 7, 8]))) for _ in range(6 + i % 20)]
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(len(words))] = "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+        rows.append((100 + i, " ".join(words)))
+    got = {tuple(r) for r in lines.drop_repeated(frame(spark, rows)).select("doc_id", "text").collect()}
+    want = set(lines.drop_repeated_brute(rows))
+    assert sum(text == "" for _, text in want) >= 25
+    assert got == want
+
+
 def test_drop_repeated_empty(spark):
     assert lines.drop_repeated(frame(spark, [])).collect() == []
 
