@@ -98,6 +98,14 @@ def test_drop_repeated_one_word(spark):
     assert got == want
 
 
+def test_drop_repeated_digits(spark):
+    """Lines that are equal but for their digits are compared with their digits."""
+    rows = [(1, "12 34 56 78 90"), (2, "98 76 54 32 10"), (3, "Paris 12 450 33 9"), (4, "Paris 98 120 11 7"), (5, "12 34 56 78 91"), (6, "paris 12  450 33 9")]
+    got = dict(map(tuple, lines.drop_repeated(frame(spark, rows)).select("doc_id", "text").collect()))
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: rows[3][1], 5: "", 6: ""}
+    assert got == dict(lines.drop_repeated_brute(rows))
+
+
 def test_drop_repeated_empty(spark):
     assert lines.drop_repeated(frame(spark, [])).collect() == []
 
