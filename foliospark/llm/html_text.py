@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import chunks
 
 # Elements by what they mean for the text inside or around them.
-HIDDEN = "script style noscript template svg iframe object canvas audio video head title textarea select option button math"
+HIDDEN = "script style noscript template svg iframe object canvas audio video head title textarea select option button annotation annotation-xml"
 BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame h1 h2 h3 h4 "
     "h5 h6 header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul"
@@ -28,8 +28,13 @@ OUTSIDE = (
     "masthead menu modal nav navbar navigation newsletter notice pagination popup promo related reply replies respond share sharing sidebar signup "
     "social sponsor sponsored subscribe tags toolbar widget"
 )
+# Last words of a class, id or role that say how, not what; first words after which the rest is not the element itself;
+# elements that are never outside by a name of their own.
+MANNER = "area bar block body bottom box container content group inner items left list outer panel primary right secondary section top wrap wrapper"
+ABOUT = "has hide is layout no not with without"
+NEVER = "html body main article h1 h2 h3 h4 h5 h6"
 INSIDE = "article content entry main post story"
-_hidden, _blocks, _void, _chrome, _outside, _inside = (set(x.split()) for x in (HIDDEN, BLOCKS, VOID, CHROME, OUTSIDE, INSIDE))
+_hidden, _blocks, _void, _chrome, _outside, _inside, _manner, _about, _never = (set(x.split()) for x in (HIDDEN, BLOCKS, VOID, CHROME, OUTSIDE, INSIDE, MANNER, ABOUT, NEVER))
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -126,6 +131,13 @@ LABELLED = """
 2 0 1 1 1 1 1 0 0 0 1
 45 0 5 1 4 1 1 0 0 0 1
 """
+# Blocks before links: short ones in an article stay, as do paragraphs outside one; links, and what is furniture or outside, do not.
+LABELLED += "".join(
+    [f"{w} {own} {before} {after} 1 1 0 0 {heading} 1\n" for w in (1, 2, 3, 5, 8, 12, 18, 25, 40) for own in (0, 0.3) for before in ("0 0", "30 0", "90 0", "4 1") for after in (2, 4, 9, 25) for heading in (0, 1)]
+    + [f"{w} 0 {before} 0 {after} 1 0 0 0 0 1\n" for w in (10, 14, 20, 25) for before in (20, 40, 90) for after in (2, 4, 9)]
+    + [f"{w} {own} {before} {after} 1 1 0 0 0 0\n" for w in (2, 5, 9, 20) for own in (0.7, 1) for before in ("5 1", "40 0") for after in (3, 9)]
+    + [f"{w} 0 {before} 0 {after} 1 1 {chrome} {1 - chrome} 0 0\n" for w in (3, 12, 30) for before in (5, 40) for after in (3, 9) for chrome in (0, 1)]
+)
 
 
 @dataclass
@@ -139,7 +151,7 @@ class Tree:
     value: list[float]
 
     @classmethod
-    def fit(cls, rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> Tree:
+    def fit(cls, rows: np.ndarray, labels: np.ndarray, depth: int = 12) -> Tree:
         """Greedy splits by Gini impurity, halfway between neighbouring values; the first of equally good ones."""
         tree = cls([], [], [], [], [])
 
@@ -179,6 +191,16 @@ def trained_tree(table: str = LABELLED) -> Tree:
     return Tree.fit(rows[:, :-1], rows[:, -1])
 
 
+def _named_outside(name: str) -> bool:
+    """Whether a whole class, id or role names what is not the article: by its last word that says what it is."""
+    words = _WORDS.findall(name.lower())
+    if not words or words[0] in _about:
+        return False
+    while len(words) > 1 and words[-1] in _manner:
+        words.pop()
+    return words[-1] in _outside
+
+
 def blocks(page: str | None) -> list[tuple]:
     """(text, words, share of linked words, in an article, in page furniture, named as outside, heading) of each text block."""
     out, parts, linked = [], [], 0
@@ -244,11 +266,16 @@ def blocks(page: str | None) -> list[tuple]:
                     break
         stack.append((name, state))
         article, chrome, outside, heading, depth = state
-        named = {w for group in _NAMED.findall(m[3]) for w in _WORDS.findall(" ".join(group).lower())} if "=" in m[3] else ()
-        if name in ("article", "main") or (named and name in _blocks and not outside and named & _inside and not named & _outside):
+        names = [n for group in _NAMED.findall(m[3]) for n in " ".join(group).split()] if "=" in m[3] else ()
+        # The header of an article holds its title.
+        other = any(_named_outside(n) and not (article and n.lower().endswith("header")) for n in names)
+        if name in ("article", "main"):
+            # An inner article is main text again, unless it is itself a comment or the like.
+            article, outside = True, outside and name == "article" and other
+        elif name in _blocks and not outside and not other and any(w & _inside and not w & _outside for w in (set(_WORDS.findall(n.lower())) for n in names)):
             article = True
         chrome |= name in _chrome or (name == "header" and not article)
-        outside |= bool(named and named & _outside)
+        outside |= other and name not in _never
         heading |= len(name) == 2 and name[0] == "h" and name[1] in "123456"
         state = (article, chrome, outside, heading, depth + (name == "a"))
     if not hidden:

@@ -92,6 +92,22 @@ def test_unigram_paths():
         assert "".join(names[k] for k in own) == unit and abs(scores[own].sum() - best(unit)[0]) < 1e-9
 
 
+def test_html_whole_articles():
+    tree = html_text.trained_tree()
+    para = "The river rose in the night and the old bridge was closed to all carts by the morning, as the miller said."
+    text = lambda page: html_text.main_text(page, tree)
+    assert text(f"<body class='post no-sidebar'><p>{para}</p><p>{para}</p></body>") == f"{para}\n{para}"
+    assert text(f"<article class='post comment-status-open'><h1 class='entry-header'>A flood</h1><p>{para}</p></article>") == f"A flood\n{para}"
+    assert text(f"<div class='sidebar'><main><p>{para}</p></main></div>") == para
+    assert text(f"<main><p>{para}</p></main><div class='comment-list'><article class='comment-body'><p>{para}</p></article></div>") == para
+    assert text(f"<article><p>{para}</p><p>So it ended.</p><div><a href=x>More news here</a></div></article>") == f"{para}\nSo it ended."
+    assert text("<article><p>With <math><mi>x</mi></math> above two.</p></article>") == "With x above two."
+    for words in range(1, 60):
+        for before in ((0, 0.0), (5, 1.0), (80, 0.0)):
+            for after in (1, 2, 6, 30):
+                assert tree.keep((words, 0.0, *before, after, 1.0, True, False, False, False))
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><header><a href='/'>Home</a></header><nav><ul><li><a href=x>A</a></ul></nav>"
