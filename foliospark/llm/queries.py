@@ -10,12 +10,14 @@ from foliospark.llm.ball_tree import quantised, top_inner_products
 from foliospark.llm.chat import perspectives
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
+from foliospark.llm.hard_negatives import hard_negatives
 from foliospark.llm.html_text import extract_main_text
 from foliospark.llm.licenses import fit_licenses, scan_licenses
 from foliospark.llm.lines import drop_repeated
 from foliospark.llm.near_join import near_groups
 from foliospark.llm.pii import KINDS, personal_data, spelled
 from foliospark.llm.pieces import MODEL, decode_texts, encode_texts
+from foliospark.llm.token_align import align_tokens
 from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
@@ -85,7 +87,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), quantised("embedding").alias("vector"))
+    return hard_negatives(vectors, vectors.where("vec_id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
+    "op13_token_alignment": op13_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
     "op3_license_scans": op3_license_scans,
     "op10_personal_data": op10_personal_data,
     "op8_html_extraction": op8_html_extraction,
@@ -109,6 +124,21 @@ ORACLE: dict[str, str] = {
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+        p AS (SELECT a, c AS p, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5),
+        n AS (
+          SELECT p.a AS anchor_id, p.p AS positive_id, s.c AS negative_id, p.score AS positive_score, s.score AS negative_score,
+            row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.c)::INTEGER AS rank
+          FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     "op5_ngram_jaccard_join": """
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
