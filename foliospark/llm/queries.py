@@ -10,6 +10,7 @@ from foliospark.llm.ball_tree import quantised, top_inner_products
 from foliospark.llm.chat import perspectives
 from foliospark.llm.common import table
 from foliospark.llm.fm_index import mark_contamination
+from foliospark.llm import secrets
 from foliospark.llm.hard_negatives import hard_negatives
 from foliospark.llm.html_text import extract_main_text
 from foliospark.llm.licenses import fit_licenses, scan_licenses
@@ -87,6 +88,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), quantised("embedding").alias("vector"))
@@ -100,6 +107,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op13_token_alignment": op13_token_alignment,
+    "op11_secret_scans": op11_secret_scans,
     "op12_hard_negatives": op12_hard_negatives,
     "op3_license_scans": op3_license_scans,
     "op10_personal_data": op10_personal_data,
@@ -114,6 +122,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op11_secret_scans": secrets.check_sql(),
     "op1_exact_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
