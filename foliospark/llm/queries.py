@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.ball_tree import quantised, top_inner_products
@@ -22,6 +23,15 @@ from foliospark.llm.token_align import align_tokens
 from foliospark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
+def _counts(spans: str, kinds: Sequence[str]) -> list[Column]:
+    """Number of spans of each kind.  A lambda's second argument would be the place in the array, so the kind is no argument."""
+
+    def number(k: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
+
+    return [number(k).alias(f"n_{name}") for k, name in enumerate(kinds)]
+
+
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised("embedding").alias("vector"))
     return top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -84,13 +94,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = _counts("base", KINDS)
     return found.select("doc_id", *counts, F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
 def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    counts = _counts("base", secrets.KINDS[:3])
     return found.select("doc_id", *counts, F.sha2(secrets.spelled("base"), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
 
 
