@@ -141,7 +141,7 @@ def test_perspectives(spark):
 
 def test_registered():
     names = set(entry_points.queries())
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names and set(queries.ORACLE) <= names
 
 
