@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.skew import in_parts
+from foliospark.skew import GROUP_LIMIT, number_rows
 
 BUBBLE_TYPE = ("struct<bubble_id:string,bbox:array<int>,raw_text:string,corrected_text:string,"
                "type:string,reading_order:bigint>")
 PANEL_TYPE = f"struct<panel_id:string,image_path:string,bubbles:array<{BUBBLE_TYPE}>>"
 DOCUMENT_SCHEMA = f"project string, part_no bigint, panels array<{PANEL_TYPE}>"
+ROW_SCHEMA = f"project string, pos bigint, slice bigint, panel_id string, image_path string, bubbles array<{BUBBLE_TYPE}>"
 
-# Bubbles of one panel, and panels of one project, nested into a single value.
+# Most bubbles in one row of a document, and most rows of a project nested into a single value.
 PART_SIZE = 10_000
 
 
@@ -27,27 +28,42 @@ def bubble_struct() -> Column:
     )
 
 
-def build_documents(panels: DataFrame, bubbles: DataFrame, *, part_size: int = PART_SIZE) -> DataFrame:
-    """Nest bubbles (by order) under panels (by ``pos``) under projects; panels without bubbles keep [].
+def document_rows(panels: DataFrame, bubbles: DataFrame, *, slice_size: int = PART_SIZE, limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """Documents as rows ``project, pos, slice, panel_id, image_path, bubbles``: the key is (project, pos, slice) at every size.
 
-    A project is one row, unless it has more than ``part_size`` panels, or a panel more than that
-    many bubbles: then it continues in further rows, numbered by ``part_no``, and nothing is dropped.
+    Bubbles (by order, then id) are nested in slices of at most ``slice_size``, counted from 0; a panel without bubbles is one
+    row with [].  ``panels`` has one row per panel (``project, panel_id, image_path, pos``).
     """
     ordered = F.struct(F.coalesce("reading_order", F.lit(0)).cast("long").alias("_o"), "bubble_id")
-    cut = in_parts(bubbles.withColumn("_order", ordered), "panel_id", ["_order"], "_slice", size=part_size)
-    nested = (cut.groupBy("panel_id", "_slice")
+    ranked = number_rows(bubbles.withColumn("_order", ordered), "panel_id", ["_order"], "_nth", limit=limit)
+    nested = (ranked.withColumn("slice", F.floor((F.col("_nth") - 1) / slice_size).cast("long")).groupBy("panel_id", "slice")
               .agg(F.sort_array(F.collect_list(F.struct("_order", bubble_struct().alias("b")))).alias("_sorted"))
-              .select("panel_id", "_slice", F.transform("_sorted", lambda s: s.getField("b")).alias("bubbles")))
-    full = (panels.join(nested, "panel_id", "left")
-            .withColumns({"bubbles": F.coalesce("bubbles", F.array().cast(f"array<{BUBBLE_TYPE}>")),
-                          "_place": F.struct(F.col("pos"), F.coalesce("_slice", F.lit(0)).alias("s"))}))
-    parts = in_parts(full, "project", ["_place"], "part_no", size=part_size)
-    panel = F.struct(F.col("panel_id").cast("string").alias("panel_id"), "image_path", "bubbles")
-    return (parts.groupBy("project", "part_no")
-            .agg(F.sort_array(F.collect_list(F.struct("_place", panel.alias("p")))).alias("_sorted"))
+              .select("panel_id", "slice", F.transform("_sorted", lambda s: s.getField("b")).alias("bubbles")))
+    return panels.select("project", "panel_id", "image_path", F.col("pos").cast("long").alias("pos")).join(nested, "panel_id", "left").select(
+        "project", "pos", F.coalesce("slice", F.lit(0).cast("long")).alias("slice"), F.col("panel_id").cast("string").alias("panel_id"),
+        "image_path", F.coalesce("bubbles", F.array().cast(f"array<{BUBBLE_TYPE}>")).alias("bubbles"))
+
+
+def nest_rows(rows: DataFrame, *, part_size: int = PART_SIZE, limit: int | None = GROUP_LIMIT) -> DataFrame:
+    """``project, part_no, panels``: document rows in their order, at most ``part_size`` in one value, parts counted from 0.
+
+    A panel of several slices stands in the list once for each; nothing is dropped.
+    """
+    ranked = number_rows(rows, "project", ["pos", "slice"], "_nth", limit=limit)
+    panel = F.struct("panel_id", "image_path", "bubbles")
+    return (ranked.withColumn("part_no", F.floor((F.col("_nth") - 1) / part_size).cast("long")).groupBy("project", "part_no")
+            .agg(F.sort_array(F.collect_list(F.struct("pos", "slice", panel.alias("p")))).alias("_sorted"))
             .select("project", "part_no", F.transform("_sorted", lambda s: s.getField("p")).alias("panels")))
 
 
+def build_documents(panels: DataFrame, bubbles: DataFrame, *, part_size: int = PART_SIZE) -> DataFrame:
+    """Nest bubbles (by order) under panels (by ``pos``) under projects; panels without bubbles keep [].
+
+    Both levels continue in further rows beyond ``part_size``: see :func:`document_rows` and :func:`nest_rows`.
+    """
+    return nest_rows(document_rows(panels, bubbles, slice_size=part_size), part_size=part_size)
+
+
 def explode_panels(docs: DataFrame) -> DataFrame:
     """One row per panel, with its position in the document part."""
     return docs.select("project", "part_no", F.posexplode_outer("panels").alias("pos", "_p")).select(
@@ -64,15 +80,30 @@ def explode_bubbles(docs: DataFrame) -> DataFrame:
                        "_b.corrected_text", "_b.type", "_b.reading_order")
 
 
-def upsert_panel(panels: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_panel(panels: DataFrame, updates: DataFrame, *, slice_size: int = PART_SIZE) -> tuple[DataFrame, DataFrame]:
     """(panels with matching ``bubbles`` replaced, updates whose panel is unknown).
 
-    Both sides have ``project, panel_id, bubbles``; other panels stay untouched.
+    Both sides have ``project, panel_id, bubbles``; other panels stay untouched.  A panel is replaced as a whole: where it has
+    several rows (``slice``, or ``part_no`` and ``pos``), the first takes the new bubbles and the others go; with ``slice`` the
+    new bubbles are cut again into slices of at most ``slice_size``.  A panel updated more than once gets the update that
+    is smallest by its values.
     """
     key = ["project", "panel_id"]
-    new = updates.select(*key, F.col("bubbles").alias("_new"))
-    merged = panels.join(new, key, "left").withColumn("bubbles", F.coalesce("_new", "bubbles")).select(*panels.columns)
-    return merged, updates.join(panels.select(*key), key, "left_anti")
+    new = updates.groupBy(*key).agg(F.min("bubbles").alias("_new"))
+    merged = panels.join(new, key, "left")
+    if "slice" in panels.columns:
+        count = F.greatest(F.ceil(F.size("_new") / slice_size), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.cast("long").alias("slice"), F.slice("_new", i * slice_size + 1, F.lit(slice_size)).alias("bubbles")))
+        kept = F.array(F.struct("slice", "bubbles"))
+        merged = merged.where("_new is null or slice = 0").withColumn("_rows", F.when(F.col("_new").isNull(), kept).otherwise(cut))
+        merged = merged.drop("slice", "bubbles").select("*", F.inline("_rows"))
+    else:
+        places = [c for c in ("part_no", "pos") if c in panels.columns]
+        if places:
+            first = panels.join(new.select(*key), key, "left_semi").groupBy(*key).agg(F.min(F.struct(*places)).alias("_first"))
+            merged = merged.join(first, key, "left").where(F.col("_new").isNull() | (F.struct(*places) == F.col("_first")))
+        merged = merged.withColumn("bubbles", F.coalesce("_new", "bubbles"))
+    return merged.select(*panels.columns), updates.join(panels.select(*key), key, "left_anti")
 
 
 def document_json(docs: DataFrame) -> DataFrame:

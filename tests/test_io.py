@@ -119,13 +119,13 @@ def test_document_round_trip(spark, tmp_path):
                                     "panel_id long, bubble_id string, reading_order int, x1 int, y1 int, x2 int, y2 int, "
                                     "raw_text string, corrected_text string, type string")
     docs = D.build_documents(panels, bubbles)
-    docs_io.write_documents(docs, str(tmp_path / "docs"))
+    docs_io.write_document_lines(docs, str(tmp_path / "docs"))
     text = "".join(p.read_text("utf-8") for p in (tmp_path / "docs").glob("part-*"))
     assert "Привет!" in text and json.loads(text)["panels"][1] == {"panel_id": "2", "image_path": "panels/2.png", "bubbles": []}
-    back = docs_io.read_documents(spark, str(tmp_path / "docs"))
+    back = docs_io.read_document_lines(spark, str(tmp_path / "docs"))
     assert back.collect() == docs.collect()
     (tmp_path / "one.json").write_text('{\n "project": "p",\n "panels": [{"panel_id": "a", "image_path": "i"}]\n}')
-    one = docs_io.read_documents(spark, str(tmp_path / "one.json"), multi_line=True).first()
+    one = docs_io.read_document_lines(spark, str(tmp_path / "one.json"), multi_line=True).first()
     assert one.panels[0].bubbles == []
 
 
