@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,10 @@ from foliospark.session import checkpoint_folder
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 # A block ends once it remembers this many windows, or holds this many links or documents: bounds of memory, not of results.
-BLOCK_WINDOWS, BLOCK_LINKS, BLOCK_ROWS = 200_000, 8_000_000, 50_000
+BLOCK_WINDOWS, BLOCK_LINKS, BLOCK_ROWS = 200_000, 4_000_000, 50_000
 CHUNK_CHARS = 1 << 20
+# Ids of both sides lie below 2^20: a pair of ids is one number, and B ids are told from A ids by the bit above.
+_SHIFT, _OF_B = 20, 1 << 20
 
 # Fixed value: how byte-level tokenizers of this family cut a text before merging.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,6 +42,8 @@ class Tokens:
 
     def __init__(self, spelled: list[bytes]):
         self.spelled = spelled
+        if len(spelled) > _OF_B:
+            raise ValueError("vocabularies of more than 2^20 ids")
         self.length = np.array([len(s) for s in spelled], np.int64)
         self.spaced = np.array([s[:1] == b" " for s in spelled])
 
@@ -71,7 +74,6 @@ class ByteLevel:
             self.one = tiktoken.Encoding("a", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         else:
             self.one = None
-        if self.one is None:
             from tokenizers import Tokenizer
 
             self.all = Tokenizer.from_str(text)
@@ -100,91 +102,93 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-def align_window(a_ids: list[int], b_ids: list[int], a_length: list[int], b_length: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
-    """(groups as numbers of tokens [a, b, a, b, ...] up to their ends, links) of two token lists that spell the same bytes."""
-    ends, links = [], []
-    i = j = 0
-    ahead = a_length[a_ids[0]] - b_length[b_ids[0]]
-    while True:
-        # The tokens i and j overlap; the one that ends first, or both, give way to the next.
-        links.append((a_ids[i], b_ids[j]))
-        if ahead == 0:
-            i, j = i + 1, j + 1
-            ends += (i, j)
-            if i == len(a_ids):
-                return ends, links
-            ahead = a_length[a_ids[i]] - b_length[b_ids[j]]
-        elif ahead < 0:
-            i += 1
-            ahead += a_length[a_ids[i]]
-        else:
-            j += 1
-            ahead -= b_length[b_ids[j]]
-
-
-def spell_groups(ends: list[int], a_ids: list[int], b_ids: list[int], numerals: list[str]) -> str:
-    if len(ends) == 2 and len(a_ids) == len(b_ids) == 1:
-        return f"{numerals[a_ids[0]]}|{numerals[b_ids[0]]}"
-    a, b = [numerals[k] for k in a_ids], [numerals[k] for k in b_ids]
-    if len(ends) == 2:
-        return ",".join(a) + "|" + ",".join(b)
-    out, i, j = [], 0, 0
-    for to_a, to_b in zip(ends[::2], ends[1::2]):
-        out.append(",".join(a[i:to_a]) + "|" + ",".join(b[j:to_b]))
-        i, j = to_a, to_b
-    return ";".join(out)
-
-
 class Block:
-    """Windows already aligned, and the id pairs their links hold, numbered in order of appearance."""
+    """Windows already aligned, by their ids, and the documents made of them."""
 
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
-        self.a_length, self.b_length = a.length.tolist(), b.length.tolist()
-        self.numerals = list(map(str, range(max(len(a.spelled), len(b.spelled)))))
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        # A token's number with the sign behind it: "," inside a group, "|" behind its A tokens and ";" behind its B tokens.
+        numbers = range(max(len(a.spelled), len(b.spelled)))
+        self.numerals = [[f"{k}{sign}" for k in numbers] for sign in ",|;"]
+        self.known: dict[bytes, int] = {}
         self.texts: list[str] = []
-        self.sizes: list[int] = []
         self.links: list[bytes] = []
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.counts = np.zeros(1024, np.int64)
-        self.held = self.rows = self.remembered = 0
-
-    def learn(self, key: tuple[bytes, bytes]) -> int:
-        """The number of a window, which is aligned where it is new."""
-        k = self.known.setdefault(key, len(self.texts))
-        if k == len(self.texts):
-            a_ids, b_ids = array("i", key[0]).tolist(), array("i", key[1]).tolist()
-            ends, links = align_window(a_ids, b_ids, self.a_length, self.b_length)
-            pairs = self.pairs
-            self.texts.append(spell_groups(ends, a_ids, b_ids, self.numerals))
-            self.sizes.append(len(ends) // 2)
-            self.links.append(array("i", [pairs.setdefault(p, len(pairs)) for p in links]).tobytes())
-            self.remembered += len(links)
-        return k
-
-    def add(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[int, int, str, np.ndarray, np.ndarray]:
-        """(groups, links, groups as text, distinct pairs, their links) of one document, from its windows."""
+        self.rows: list[tuple] = []
+        self.pairs: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        self.held = self.remembered = 0
+
+    def add(self, a_list: list[int], b_list: list[int]) -> tuple[int, int, str, np.ndarray, np.ndarray]:
+        """(groups, links, groups as text, distinct pairs, their links) of one document, put together from its windows."""
+        a_ids, b_ids = np.array(a_list, np.int64), np.array(b_list, np.int64)
         a_end, b_end = np.cumsum(self.a.length[a_ids]), np.cumsum(self.b.length[b_ids])
         shared = np.intersect1d(a_end, b_end, assume_unique=True)
         after_a, after_b = np.searchsorted(a_end, shared) + 1, np.searchsorted(b_end, shared) + 1
         inner = slice(0, len(shared) - 1)
         anchor = np.append(self.a.spaced[a_ids[after_a[inner]]] & self.b.spaced[b_ids[after_b[inner]]], True)
-        raw_a, raw_b = a_ids.astype(np.int32).tobytes(), b_ids.astype(np.int32).tobytes()
-        at_a, at_b = [0, *(after_a[anchor] * 4).tolist()], [0, *(after_b[anchor] * 4).tolist()]
-        keys = [(raw_a[i:j], raw_b[k:m]) for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:])]
+        # Tokens by group, those of A first: a window's ids are one run of them.
+        group = np.concatenate([2 * np.searchsorted(shared, a_end), 2 * np.searchsorted(shared, b_end) + 1])
+        order = np.argsort(group, kind="stable")
+        marked = np.concatenate([a_ids, b_ids + _OF_B])[order].astype(np.int32)
+        raw, stops = marked.tobytes(), (4 * (after_a[anchor] + after_b[anchor])).tolist()
+        keys = [raw[i:j] for i, j in zip([0, *stops], stops)]
         known = self.known
-        found = [known[key] if key in known else self.learn(key) for key in keys]
-        links = np.frombuffer(b"".join([self.links[k] for k in found]), np.int32)
-        pairs, counts = np.unique(links, return_counts=True)
-        if len(self.counts) < len(self.pairs):
-            self.counts = np.append(self.counts, np.zeros(len(self.pairs) + len(self.counts), np.int64))
-        self.counts[pairs] += counts
+        found = [known.get(key) for key in keys]
+        if None in found:
+            aligned = self._aligned(a_ids, b_ids, a_end, b_end, group[order], marked, shared[anchor])
+            for w, (number, key) in enumerate(zip(found, keys)):
+                if number is None:
+                    found[w] = known[key] if key in known else self._learn(key, *aligned(w, stops))
+        links = np.frombuffer(b"".join([self.links[k] for k in found]), np.int64)
+        pairs, times = np.unique(links, return_counts=True)
+        return len(shared), len(links), "".join([self.texts[k] for k in found])[:-1], pairs, times
+
+    def _aligned(self, a_ids, b_ids, a_end, b_end, group, marked, anchors):
+        """Text and links of the windows of one document.
+
+        Between two neighbouring ends of either side lies one stretch of bytes inside one token of each: one link.
+        """
+        ends = np.union1d(a_end, b_end)
+        links = (a_ids[np.searchsorted(a_end, ends)] << _SHIFT) | b_ids[np.searchsorted(b_end, ends)]
+        places = [0, *(np.searchsorted(ends, anchors) + 1).tolist()]
+        last = np.append(group[1:] != group[:-1], True)
+        signs = np.where(last, 1 + (group & 1), 0)
+        numerals = self.numerals
+        spelled = [numerals[sign][k] for sign, k in zip(signs.tolist(), (marked & (_OF_B - 1)).tolist())]
+
+        def window(w: int, stops: list[int]) -> tuple[str, bytes]:
+            first = stops[w - 1] // 4 if w else 0
+            return "".join(spelled[first : stops[w] // 4]), links[places[w] : places[w + 1]].tobytes()
+
+        return window
+
+    def _learn(self, key: bytes, text: str, links: bytes) -> int:
+        number = self.known[key] = len(self.texts)
+        self.texts.append(text)
+        self.links.append(links)
+        self.remembered += len(links) // 8
+        return number
+
+    def keep(self, row: tuple, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.rows.append(row)
+        self.pairs.append(pairs)
+        self.times.append(times)
         self.held += len(pairs)
-        return sum([self.sizes[k] for k in found]), len(links), ";".join([self.texts[k] for k in found]), pairs, counts
 
     def full(self) -> bool:
-        return len(self.texts) >= BLOCK_WINDOWS or self.held >= BLOCK_LINKS or self.remembered >= BLOCK_LINKS or self.rows >= BLOCK_ROWS
+        return len(self.texts) >= BLOCK_WINDOWS or self.held >= BLOCK_LINKS or self.remembered >= BLOCK_LINKS or len(self.rows) >= BLOCK_ROWS
+
+    def numbered(self) -> tuple[list[tuple], list[dict]]:
+        """(documents with their pairs as numbers, counts of the block's pairs in that order)."""
+        every = np.concatenate(self.pairs) if self.pairs else np.empty(0, np.int64)
+        pairs, places = np.unique(every, return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        if len(every):
+            np.add.at(counts, places, np.concatenate(self.times))
+        ends = np.cumsum([len(p) for p in self.pairs]).tolist()
+        places = places.astype(np.int32)
+        rows = [(*row, places[i:j].tobytes(), times.astype(np.int32).tobytes()) for row, times, i, j in zip(self.rows, self.times, [0, *ends], ends)]
+        return rows, [{"a": p >> _SHIFT, "b": p & (_OF_B - 1), "n": n} for p, n in zip(pairs.tolist(), counts.tolist())]
 
 
 _PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
@@ -200,34 +204,33 @@ def _encoded(files, keep_groups: bool):
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
-    def end(number: int, block: Block) -> pa.RecordBatch:
-        pairs = [{"a": a, "b": b, "n": int(block.counts[k])} for (a, b), k in block.pairs.items()]
-        return batch([(number, *[None] * 9, pairs)])
+    def end(number: int, block: Block) -> Iterator[pa.RecordBatch]:
+        rows, pairs = block.numbered()
+        for first in range(0, len(rows), 5000):
+            yield batch([(number, *row, None) for row in rows[first : first + 5000]])
+        yield batch([(number, *[None] * 9, pairs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteLevel(files.value[0]), Pieces(files.value[1])
         number = TaskContext.get().partitionId() << 32
         a_bytes, b_bytes = a.tokens.spelled, b.tokens.spelled
+        none = np.empty(0, np.int64)
         block = Block(a.tokens, b.tokens)
         for part, texts in chunks(batches, "text", CHUNK_CHARS):
-            rows = []
             whole = [" " + t if t else "" for t in texts]
             for own, text, a_list, b_list in zip(part.column("doc_id").to_pylist(), whole, a.encode(whole), b.encode([t or "" for t in texts])):
-                block.rows += 1
                 same = text and b"".join([a_bytes[k] for k in a_list]) == b"".join([b_bytes[k] for k in b_list]) == text.encode()
                 if not same:
-                    rows.append((number, own, 0, 0, 0, 0, "", "" if keep_groups else None, b"", b"", None))
+                    block.keep((own, 0, 0, 0, 0, "", "" if keep_groups else None), none, none)
                     continue
-                groups, links, spelled, pairs, times = block.add(np.array(a_list, np.int64), np.array(b_list, np.int64))
+                groups, links, spelled, pairs, times = block.add(a_list, b_list)
                 sha = hashlib.sha256(spelled.encode()).hexdigest()
-                blobs = pairs.astype(np.int32).tobytes(), times.astype(np.int32).tobytes()
-                rows.append((number, own, len(a_list), len(b_list), groups, links, sha, spelled if keep_groups else None, *blobs, None))
-            yield batch(rows)
+                block.keep((own, len(a_list), len(b_list), groups, links, sha, spelled if keep_groups else None), pairs, times)
             if block.full():
-                yield end(number, block)
+                yield from end(number, block)
                 number, block = number + 1, Block(a.tokens, b.tokens)
         if block.rows:
-            yield end(number, block)
+            yield from end(number, block)
 
     return run
 
