@@ -16,6 +16,7 @@ from foliospark.operators import images as I
 from foliospark.operators.models import detect, recognize
 from foliospark.operators.suppress import nms
 from foliospark.sources import documents as docs_io
+from foliospark.sources import intake
 from foliospark.sources import pages as P
 from foliospark.sources.requests import read_requests
 from foliospark.sources.sinks import write_panel_manifest, write_report_csv
@@ -71,10 +72,13 @@ def test_single_image(spark, folder):
 def test_archives(spark, folder):
     archives = P.read_archives(spark, folder)
     assert rows(P.expand_archives(archives), "page_num", "name") == [(1, "1.png"), (2, "2_2.png"), (3, "x/2.png"), (4, "y/2.png")]
-    mixed = archives.unionByName(spark.createDataFrame([("bad.zip", bytearray(b"PK no archive")), ("none.zip", None)], "path string, content binary"))
+    with open(folder + "/bad.zip", "wb") as f:
+        f.write(b"PK no archive")
+    mixed = P.read_archives(spark, folder).unionByName(spark.createDataFrame([("/none.zip", 0)], "path string, length long"))
     assert P.expand_archives(mixed).count() == 4
     kept = P.expand_archives(mixed, unreadable="keep")
-    assert sorted(r.source_id for r in kept.where("error is not null").collect()) == ["bad.zip", "none.zip"] and kept.count() == 6
+    bad = [r.source_id for r in kept.where("error is not null").collect()]
+    assert sorted(b.rsplit("/", 1)[1] for b in bad) == ["bad.zip", "none.zip"] and kept.count() == 6
     unique = P.expand_archives(archives, unique_names=True)
     assert rows(unique, "page_num", "name") == [(1, "1.png"), (2, "2_2.png"), (3, "2.png"), (4, "2_3.png")]
     key = unique.select("cache_key").first()[0]
@@ -82,9 +86,49 @@ def test_archives(spark, folder):
     assert {bytes(r.data) for r in unique.collect()} == {b"1.png", b"2_2.png", b"x/2.png", b"y/2.png"}
 
 
+def test_large_archive_is_read_by_many_tasks(spark, tmp_path):
+    """Ranges of entries go to several tasks; names and numbers are those of the sequential walk."""
+    rng = np.random.default_rng(5)
+    names = [f"{d}/{n}.{e}" for d in "abc" for n in ("1", "1_2", "2", "2_2_2") for e in ("png", "JPG")] + ["a/1_3.png", "a/no.txt", "a/.png"]
+    with zipfile.ZipFile(tmp_path / "big é.zip", "w") as z:
+        for name in names:
+            z.writestr(name, name.encode() + rng.bytes(20_000))
+    archives = P.read_archives(spark, str(tmp_path))
+    found = P.expand_archives(archives, unique_names=True, task_bytes=60_000)
+    assert found.rdd.getNumPartitions() >= 6
+    used, want = set(), []
+    for k, entry in enumerate(sorted(n for n in names if n.lower().endswith(("png", "jpg")) and not n.endswith("/.png"))):
+        stem, ext = entry.split("/")[1].rsplit(".", 1)
+        name = next(c for c in (f"{stem}{s}.{ext}" for s in ["", *(f"_{i}" for i in range(2, 99))]) if c not in used)
+        used.add(name)
+        want.append((k + 1, name, entry))
+    got = sorted((r.page_num, r.name, bytes(r.data)[: -20_000].decode()) for r in found.collect())
+    assert got == want
+
+
+def test_intake_reads_changes_only(spark, folder, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    assert intake.take_in(spark, folder, store) == 4
+    first = rows(intake.stored_pages(spark, store), "page_num", "name")
+    assert first == sorted([(1, "1.png"), (2, "2_2.png"), (3, "2.png"), (4, "2_3.png"), (1, "a.png"), (2, "b.PNG"), (3, "c.jpg")], key=repr)
+    monkeypatch.setattr(intake, "expand_archives", None)  # content cannot be read any more
+    assert intake.take_in(spark, folder, store) == 0 and intake.changed_files(spark, folder, store).count() == 0
+    monkeypatch.undo()
+    with open(folder + "/aa.png", "wb") as f:
+        f.write(png(flat(3)))
+    with zipfile.ZipFile(folder + "/book.cbz", "w") as z:
+        z.writestr("only.png", b"new")
+    assert intake.take_in(spark, folder, store) == 2
+    assert rows(intake.stored_pages(spark, store), "page_num", "name") == sorted([(1, "only.png"), (1, "a.png"), (2, "aa.png"), (3, "b.PNG"), (4, "c.jpg")], key=repr)
+
+
 def test_mixed_folder(spark, folder):
     pages, rest = P.read_pages(spark, folder)
-    assert pages.count() == 3 + 4
+    got = sorted((r.source_id.rsplit("/", 1)[1], r.page_num, r.name) for r in pages.collect())
+    assert got == [("book.cbz", 1, "1.png"), ("book.cbz", 2, "2_2.png"), ("book.cbz", 3, "x/2.png"), ("book.cbz", 4, "y/2.png"),
+                   ("pages", 1, "a.png"), ("pages", 2, "b.PNG"), ("pages", 3, "c.jpg")]
+    one, none = P.read_pages(spark, folder + "/a.png")
+    assert [(r.page_num, r.name) for r in one.collect()] == [(1, "a.png")] and none.count() == 0
     assert [r.path.rsplit("/", 1)[1] for r in rest.collect()] == ["notes.txt"]
 
 
