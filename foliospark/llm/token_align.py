@@ -19,7 +19,7 @@ from foliospark.session import checkpoint_folder
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 # A block ends once it remembers this many windows, or holds this many links or documents: bounds of memory, not of results.
-BLOCK_WINDOWS, BLOCK_LINKS, BLOCK_ROWS = 200_000, 4_000_000, 50_000
+BLOCK_WINDOWS, BLOCK_LINKS, BLOCK_ROWS = 100_000, 2_000_000, 50_000
 CHUNK_CHARS = 1 << 20
 # Ids of both sides lie below 2^20: a pair of ids is one number, and B ids are told from A ids by the bit above.
 _SHIFT, _OF_B = 20, 1 << 20
@@ -102,14 +102,17 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
+def signed_numerals(a: Tokens, b: Tokens) -> list[list[str]]:
+    """A token's number with the sign behind it: "," inside a group, "|" behind its A tokens and ";" behind its B tokens."""
+    numbers = range(max(len(a.spelled), len(b.spelled)))
+    return [[f"{k}{sign}" for k in numbers] for sign in ",|;"]
+
+
 class Block:
     """Windows already aligned, by their ids, and the documents made of them."""
 
-    def __init__(self, a: Tokens, b: Tokens):
-        self.a, self.b = a, b
-        # A token's number with the sign behind it: "," inside a group, "|" behind its A tokens and ";" behind its B tokens.
-        numbers = range(max(len(a.spelled), len(b.spelled)))
-        self.numerals = [[f"{k}{sign}" for k in numbers] for sign in ",|;"]
+    def __init__(self, a: Tokens, b: Tokens, numerals: list[list[str]]):
+        self.a, self.b, self.numerals = a, b, numerals
         self.known: dict[bytes, int] = {}
         self.texts: list[str] = []
         self.links: list[bytes] = []
@@ -122,26 +125,32 @@ class Block:
         """(groups, links, groups as text, distinct pairs, their links) of one document, put together from its windows."""
         a_ids, b_ids = np.array(a_list, np.int64), np.array(b_list, np.int64)
         a_end, b_end = np.cumsum(self.a.length[a_ids]), np.cumsum(self.b.length[b_ids])
-        shared = np.intersect1d(a_end, b_end, assume_unique=True)
-        after_a, after_b = np.searchsorted(a_end, shared) + 1, np.searchsorted(b_end, shared) + 1
-        inner = slice(0, len(shared) - 1)
-        anchor = np.append(self.a.spaced[a_ids[after_a[inner]]] & self.b.spaced[b_ids[after_b[inner]]], True)
+        near = np.searchsorted(b_end, a_end)
+        ends_both = b_end[near] == a_end
+        after_a, after_b = np.flatnonzero(ends_both) + 1, near[ends_both] + 1
+        anchor = np.append(self.a.spaced[a_ids[after_a[:-1]]] & self.b.spaced[b_ids[after_b[:-1]]], True)
         # Tokens by group, those of A first: a window's ids are one run of them.
-        group = np.concatenate([2 * np.searchsorted(shared, a_end), 2 * np.searchsorted(shared, b_end) + 1])
-        order = np.argsort(group, kind="stable")
-        marked = np.concatenate([a_ids, b_ids + _OF_B])[order].astype(np.int32)
+        last_b = np.zeros(len(b_ids), np.int64)
+        last_b[after_b - 1] = 1
+        group_a, group_b = np.cumsum(ends_both) - ends_both, np.cumsum(last_b) - last_b
+        marked, group = np.empty(len(a_ids) + len(b_ids), np.int32), np.empty(len(a_ids) + len(b_ids), np.int64)
+        place_a, place_b = np.arange(len(a_ids)) + np.append(0, after_b)[group_a], np.arange(len(b_ids)) + after_a[group_b]
+        marked[place_a], marked[place_b] = a_ids, b_ids + _OF_B
+        group[place_a], group[place_b] = 2 * group_a, 2 * group_b + 1
         raw, stops = marked.tobytes(), (4 * (after_a[anchor] + after_b[anchor])).tolist()
         keys = [raw[i:j] for i, j in zip([0, *stops], stops)]
         known = self.known
-        found = [known.get(key) for key in keys]
+        found = list(map(known.get, keys))
         if None in found:
-            aligned = self._aligned(a_ids, b_ids, a_end, b_end, group[order], marked, shared[anchor])
+            aligned = self._aligned(a_ids, b_ids, a_end, b_end, group, marked, a_end[after_a[anchor] - 1])
             for w, (number, key) in enumerate(zip(found, keys)):
                 if number is None:
                     found[w] = known[key] if key in known else self._learn(key, *aligned(w, stops))
         links = np.frombuffer(b"".join([self.links[k] for k in found]), np.int64)
-        pairs, times = np.unique(links, return_counts=True)
-        return len(shared), len(links), "".join([self.texts[k] for k in found])[:-1], pairs, times
+        ordered = np.sort(links)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        pairs, times = ordered[first], np.diff(np.append(first, len(ordered)))
+        return len(after_a), len(links), "".join([self.texts[k] for k in found])[:-1], pairs, times
 
     def _aligned(self, a_ids, b_ids, a_end, b_end, group, marked, anchors):
         """Text and links of the windows of one document.
@@ -215,11 +224,12 @@ def _encoded(files, keep_groups: bool):
         number = TaskContext.get().partitionId() << 32
         a_bytes, b_bytes = a.tokens.spelled, b.tokens.spelled
         none = np.empty(0, np.int64)
-        block = Block(a.tokens, b.tokens)
+        numerals = signed_numerals(a.tokens, b.tokens)
+        block = Block(a.tokens, b.tokens, numerals)
         for part, texts in chunks(batches, "text", CHUNK_CHARS):
             whole = [" " + t if t else "" for t in texts]
             for own, text, a_list, b_list in zip(part.column("doc_id").to_pylist(), whole, a.encode(whole), b.encode([t or "" for t in texts])):
-                same = text and b"".join([a_bytes[k] for k in a_list]) == b"".join([b_bytes[k] for k in b_list]) == text.encode()
+                same = text and b"".join(map(a_bytes.__getitem__, a_list)) == b"".join(map(b_bytes.__getitem__, b_list)) == text.encode()
                 if not same:
                     block.keep((own, 0, 0, 0, 0, "", "" if keep_groups else None), none, none)
                     continue
@@ -228,7 +238,7 @@ def _encoded(files, keep_groups: bool):
                 block.keep((own, len(a_list), len(b_list), groups, links, sha, spelled if keep_groups else None), pairs, times)
             if block.full():
                 yield from end(number, block)
-                number, block = number + 1, Block(a.tokens, b.tokens)
+                number, block = number + 1, Block(a.tokens, b.tokens, numerals)
         if block.rows:
             yield from end(number, block)
 
