@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Labelled paragraphs (family, part, text): public notices of the families, and other prose as unknown.
@@ -69,13 +69,13 @@ FAMILIES = ("apache", "mit", "gpl", "bsd", "cc", "mpl", "unknown")
 THRESHOLD, CONFIRM = 0.5, 0.5
 
 
-def grams(text: str | Column) -> Column:
-    """Distinct words and word pairs of a text: lower-cased runs of letters, digits and everything above ASCII."""
-    column = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(F.lower(column), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    pairs = F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.array_distinct(F.concat(words, pairs))
+def with_grams(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``grams``, the distinct words and word pairs of a text (lower-cased runs of letters, digits and everything above
+    ASCII), and ``n``, the number of its distinct word pairs.  Each step is a column of its own, so it is computed once per row."""
+    words = F.array_remove(F.split(F.lower(F.col(text)), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    pairs = F.zip_with(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", F.lit(2), F.size("_words")), lambda a, b: F.concat_ws(" ", a, b))
+    listed = df.withColumn("_words", words).withColumn("_pairs", pairs).withColumn("_pairs", F.array_distinct("_pairs"))
+    return listed.withColumn("grams", F.concat(F.array_distinct("_words"), "_pairs")).withColumn("n", F.size("_pairs")).drop("_words", "_pairs")
 
 
 def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -96,7 +96,7 @@ class LicenseModel:
 def fit_licenses(spark: SparkSession) -> LicenseModel:
     """Multinomial logistic regression over the n-grams of the labelled paragraphs, calibrated on the part left out."""
     table = _inline(spark, [{"y": FAMILIES.index(f), "part": part, "body": text} for f, part, text in LABELLED], "y: double, part: string, body: string")
-    table = table.withColumn("grams", grams("body"))
+    table = with_grams(table, "body")
     train = table.where("part = 'train'")
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0).fit(train)
     model = LogisticRegression(labelCol="y", family="multinomial", regParam=0.003, maxIter=100).fit(counter.transform(train))
@@ -136,9 +136,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel, *, threshold: float = TH
     rows = [{"gram": g, "w": w, "t": by_gram.get(g, [])} for g, w in model.weights.items()]
     weights = _inline(spark, rows, "gram: string, w: array<double>, t: array<int>")
     lines = docs.where("text is not null").select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    found = lines.select("doc_id", "row", "paragraph", grams("body").alias("grams"))
-    n_pairs = F.size(F.filter("grams", lambda g: g.contains(" ")))
-    found = found.select("doc_id", "row", "paragraph", n_pairs.alias("n"), F.explode("grams").alias("gram"))
+    found = with_grams(lines, "body").select("doc_id", "row", "paragraph", "n", F.explode("grams").alias("gram"))
     # The weights hold as many rows as the labelled paragraphs have n-grams.
     met = found.join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(k)]
