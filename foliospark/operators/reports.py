@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.text import strip
+from foliospark.session import cut_lineage
 from foliospark.skew import names, number_rows
 
 
@@ -174,5 +175,69 @@ def dominant_cluster(
     return centres.groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
 
 
+def seeded_clusters(
+    points: DataFrame, *, by: str | Sequence[str], point: str = "point", k: int = 3, tries: int = 3, steps: int = 20, eps: float = 1.0,
+    seed: int = 0, digits: int = 6,
+) -> DataFrame:
+    """The largest of ``k`` clusters per key, from seeds spread by squared distance: key, ``cluster``, ``members``, ``centre``, ``spread``.
+
+    Each of ``tries`` draws a first centre by chance and every further one with a chance in proportion to the squared distance
+    from the centres before; then points go to the nearest centre (the first of equally near ones) and centres to the means, until
+    no centre of the try moves by more than ``eps`` or ``steps`` are done.  The try with the least ``spread`` (squared distances from
+    the centres) counts, its largest cluster is returned; ties go to the first.  Chances are hashes of ``seed``, so the result does
+    not depend on how rows lie.  A key with fewer distinct points than ``k`` has as many clusters; null points are ignored.
+
+    Equal points are one row with a count, combined before the shuffle, which keeps an image's many equal pixels together.
+    All keys and tries move at once; only centres are kept between steps, and tries that have settled drop out.
+    """
+    by = names(by)
+    given = points.where(F.col(point).isNotNull()).select(*by, F.transform(point, lambda v: v.cast("double")).alias("_v"))
+    data = cut_lineage(given.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    width = data.agg(F.max(F.size("_v"))).first()[0] or 0
+    none = F.array().cast("array<array<double>>")
+    state = data.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("_try"), none.alias("_centres"))
+
+    def apart(v: Column, centres: Column) -> Column:
+        return F.array_min(F.transform(centres, lambda c: _distance(v, c)))
+
+    for turn in range(k):
+        chance = (F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "_try", *by, "_v"), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+        far = F.lit(1.0) if turn == 0 else apart(F.col("_v"), F.col("_centres"))
+        # The smallest of exponential waiting times is a draw in proportion to the weights.
+        drawn = data.join(state, by).withColumn("_far", far).where("_far > 0").withColumn("_wait", -F.log(chance) / (F.col("_n") * F.col("_far")))
+        next_ = drawn.groupBy(*by, "_try").agg(F.min(F.struct("_wait", "_v")).alias("_next"))
+        grown = F.when(F.col("_next").isNull(), F.col("_centres")).otherwise(F.concat("_centres", F.array("_next._v")))
+        state = cut_lineage(state.join(next_, [*by, "_try"], "left").select(*by, "_try", grown.alias("_centres")))
+
+    def placed(centres: DataFrame) -> DataFrame:
+        near = F.transform("_centres", lambda c, i: F.struct(_distance(F.col("_v"), c).alias("d"), i.cast("int").alias("cluster")))
+        return data.join(centres, by).select(*by, "_try", "_centres", "_v", "_n", F.array_min(near).alias("_near"))
+
+    settled, active = None, state
+    for _ in range(steps):
+        total = F.sum("_n")
+        sums = [F.round(F.sum(F.get("_v", F.lit(i)) * F.col("_n")) / total, digits) for i in range(width)]
+        means = placed(active).groupBy(*by, "_try", F.col("_near.cluster").alias("_c")).agg(F.filter(F.array(*sums), lambda x: x.isNotNull()).alias("_mean"))
+        listed = means.groupBy(*by, "_try").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_mean"))).alias("_means"))
+        # A centre without points stays where it is.
+        new = F.transform("_centres", lambda c, i: F.coalesce(F.try_element_at("_means", i.cast("int")), c))
+        stepped = active.join(listed, [*by, "_try"]).select(*by, "_try", "_centres", new.alias("_new"))
+        moved = F.array_max(F.zip_with("_centres", "_new", _distance))
+        stepped = cut_lineage(stepped.select(*by, "_try", F.col("_new").alias("_centres"), (moved > eps * eps).alias("_moves")))
+        done = stepped.where("not _moves").drop("_moves")
+        settled = done if settled is None else settled.unionByName(done)
+        active = stepped.where("_moves").drop("_moves")
+        if active.isEmpty():
+            break
+    final = active if settled is None else settled.unionByName(active)
+    sized = placed(final).groupBy(*by, "_try", F.col("_near.cluster").alias("cluster")).agg(
+        F.sum("_n").alias("members"), F.sum(F.col("_near.d") * F.col("_n")).alias("_d"), F.first("_centres").alias("_centres"))
+    tried = sized.groupBy(*by, "_try").agg(
+        F.round(F.sum("_d"), digits).alias("spread"), F.max(F.struct("members", (-F.col("cluster")).alias("minus"), "_centres")).alias("_b"))
+    best = tried.groupBy(*by).agg(F.min(F.struct("spread", "_try", "_b")).alias("x"))
+    cluster = -F.col("x._b.minus")
+    return best.select(*by, cluster.alias("cluster"), F.col("x._b.members").alias("members"), F.get("x._b._centres", cluster).alias("centre"), F.col("x.spread").alias("spread"))
+
+
 def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, d: total + d)

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.skew import GROUP_LIMIT, broadcast_if_small, names, prefix_scan
+from foliospark.skew import GROUP_LIMIT, names, prefix_scan
 
 # Target frame, and the tolerance within which a panel is cropped to it.
 FRAME_W, FRAME_H = 1920, 1080
@@ -87,7 +87,7 @@ def relative_keypoints(
     first = frames.groupBy(clip).agg(F.min_by(points, frame).alias("_first"))
     base = first.join(source.select(clip, F.col(points).alias("_source")), clip)
     base = base.withColumn("_scale", F.sqrt(_extent_area(F.col("_source")) / _extent_area(F.col("_first"))))
-    joined = frames.join(broadcast_if_small(base), clip)
+    joined = frames.join(base, clip)
 
     def moved(p: Column, i: Column) -> Column:
         first_p, source_p = F.get(F.col("_first"), i), F.get(F.col("_source"), i)

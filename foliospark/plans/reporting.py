@@ -96,6 +96,12 @@ def largest_polygon(spark, d):
     return R.largest_polygon(_polygons(Tables(spark, d)), by="p_brand", id="p_partkey")
 
 
+def seeded_clusters(spark, d):
+    """Parts as points (size, price band), one cloud per brand."""
+    shaped = Tables(spark, d).read("part").select("p_brand", F.expr("array(cast(p_size as double), cast(p_retailprice / 40 as double))").alias("point"))
+    return R.seeded_clusters(shaped, by="p_brand").select("p_brand", "members", "spread", F.col("centre")[0].alias("size"), F.col("centre")[1].alias("price"))
+
+
 def dominant_cluster(spark, d):
     found = R.dominant_cluster(Tables(spark, d).read("embeddings"), by="label", point="embedding")
     total = F.aggregate("centre", F.lit(0.0), lambda t, x: t + x)
@@ -238,7 +244,7 @@ sized AS (SELECT page_id, w, h, CASE WHEN abs(wd / hd - 16::DOUBLE / 9) < 0.2::D
 
 QUERIES = {f.__name__: f for f in (
     source_totals, stage_stats, stage_errors, benchmark_rows, benchmark_summary, map_mean, ocr_report, bubble_texts,
-    seam_score, polygon_stats, largest_polygon, dominant_cluster, fit_16_9, frame_schedule, clip_timeline,
+    seam_score, polygon_stats, largest_polygon, dominant_cluster, seeded_clusters, fit_16_9, frame_schedule, clip_timeline,
     relative_keypoints, invert_dark, mean_luminance, image_seam_score, composite_on_white, crop_regions, recognize_crops)}
 
 _MOVED = "".join(f"""
