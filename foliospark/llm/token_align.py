@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ class ByteLevel:
     """Tokenizer A: byte-level merges read from a tokenizers file.
 
     Where the file's ids rise with its merge order, byte ranks give the same ids (tests compare all code points) at a quarter of
-    the time; other files are encoded by their own library.
+    the time; other files are encoded by their own library.  What is read from the file is sent to the tasks, which build the encoder.
     """
 
     def __init__(self, text: str):
@@ -66,23 +66,22 @@ class ByteLevel:
         made = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
         split = found.get("pre_tokenizer") or {}
         usual = found.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        if usual and all(a < b for a, b in zip(made, made[1:])):
-            import tiktoken
+        added = {t["content"] for t in found["added_tokens"]}
+        ranked = usual and all(a < b for a, b in zip(made, made[1:]))
+        self.ranks = {spelled[k]: k for piece, k in vocabulary.items() if piece not in added} if ranked else None
+        self.text = None if ranked else text
 
-            added = {t["content"] for t in found["added_tokens"]}
-            ranks = {spelled[k]: k for piece, k in vocabulary.items() if piece not in added}
-            self.one = tiktoken.Encoding("a", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.one = None
-            from tokenizers import Tokenizer
+    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+        if self.ranks is not None:
+            import tiktoken
 
-            self.all = Tokenizer.from_str(text)
-            self.all.encode_special_tokens = True
+            one = tiktoken.Encoding("a", pat_str=BYTE_PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+            return lambda texts: [one(t) for t in texts]
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.one is not None:
-            return [self.one(t) for t in texts]
-        return [e.ids for e in self.all.encode_batch(texts, add_special_tokens=False)]
+        library = Tokenizer.from_str(self.text)
+        library.encode_special_tokens = True
+        return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 class Pieces:
@@ -91,15 +90,18 @@ class Pieces:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
         spelled = []
-        for k in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(k)
-            spelled.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(k) else piece.replace("▁", " ").encode())
-        self.tokens = Tokens(spelled)
+        for k in range(library.get_piece_size()):
+            piece = library.id_to_piece(k)
+            spelled.append(bytes([int(piece[3:5], 16)]) if library.is_byte(k) else piece.replace("▁", " ").encode())
+        self.tokens, self.model = Tokens(spelled), model
+
+    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+        import sentencepiece
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        return lambda texts: library.encode(texts, num_threads=1)
 
 
 def signed_numerals(a: Tokens, b: Tokens) -> list[list[str]]:
@@ -142,7 +144,7 @@ class Block:
         known = self.known
         found = list(map(known.get, keys))
         if None in found:
-            aligned = self._aligned(a_ids, b_ids, a_end, b_end, group, marked, a_end[after_a[anchor] - 1])
+            aligned = self._aligned(a_ids, b_ids, a_end, b_end, b_end[last_b == 0], group, marked, a_end[after_a[anchor] - 1])
             for w, (number, key) in enumerate(zip(found, keys)):
                 if number is None:
                     found[w] = known[key] if key in known else self._learn(key, *aligned(w, stops))
@@ -152,12 +154,12 @@ class Block:
         pairs, times = ordered[first], np.diff(np.append(first, len(ordered)))
         return len(after_a), len(links), "".join([self.texts[k] for k in found])[:-1], pairs, times
 
-    def _aligned(self, a_ids, b_ids, a_end, b_end, group, marked, anchors):
+    def _aligned(self, a_ids, b_ids, a_end, b_end, b_only, group, marked, anchors):
         """Text and links of the windows of one document.
 
         Between two neighbouring ends of either side lies one stretch of bytes inside one token of each: one link.
         """
-        ends = np.union1d(a_end, b_end)
+        ends = np.sort(np.concatenate([a_end, b_only]))
         links = (a_ids[np.searchsorted(a_end, ends)] << _SHIFT) | b_ids[np.searchsorted(b_end, ends)]
         places = [0, *(np.searchsorted(ends, anchors) + 1).tolist()]
         last = np.append(group[1:] != group[:-1], True)
@@ -220,7 +222,8 @@ def _encoded(files, keep_groups: bool):
         yield batch([(number, *[None] * 9, pairs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(files.value[0]), Pieces(files.value[1])
+        a, b = files.value
+        a_encode, b_encode = a.encoder(), b.encoder()
         number = TaskContext.get().partitionId() << 32
         a_bytes, b_bytes = a.tokens.spelled, b.tokens.spelled
         none = np.empty(0, np.int64)
@@ -228,7 +231,7 @@ def _encoded(files, keep_groups: bool):
         block = Block(a.tokens, b.tokens, numerals)
         for part, texts in chunks(batches, "text", CHUNK_CHARS):
             whole = [" " + t if t else "" for t in texts]
-            for own, text, a_list, b_list in zip(part.column("doc_id").to_pylist(), whole, a.encode(whole), b.encode([t or "" for t in texts])):
+            for own, text, a_list, b_list in zip(part.column("doc_id").to_pylist(), whole, a_encode(whole), b_encode([t or "" for t in texts])):
                 same = text and b"".join(map(a_bytes.__getitem__, a_list)) == b"".join(map(b_bytes.__getitem__, b_list)) == text.encode()
                 if not same:
                     block.keep((own, 0, 0, 0, 0, "", "" if keep_groups else None), none, none)
@@ -279,7 +282,7 @@ def align_tokens(docs: DataFrame, *, byte_bpe: str = BYTE_BPE, piece_model: str
     """
     spark = docs.sparkSession
     with open(byte_bpe, encoding="utf-8") as f, open(piece_model, "rb") as g:
-        files = spark.sparkContext.broadcast((f.read(), g.read()))
+        files = spark.sparkContext.broadcast((ByteLevel(f.read()), Pieces(g.read())))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     path = f"{checkpoint_folder(spark)}/aligned-{uuid.uuid4().hex}"
     slim.mapInArrow(_encoded(files, keep_groups), _ENCODED).write.parquet(path)
