@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliospark.functions import names as N
@@ -11,6 +13,9 @@ from foliospark.operators import documents as D
 from foliospark.operators import text as X
 from foliospark.plans.check_sql import views
 from foliospark.plans.fixtures import Tables
+from foliospark.session import checkpoint_folder
+from foliospark.sources.document_table import create_document_table, merge_document_table, read_document_table
+from foliospark.sources.documents import read_documents, write_documents
 from foliospark.sources.requests import parse_requests
 
 _EXTS = "array('png', 'JPG', 'jpeg', 'cbz', 'txt', 'webp')"
@@ -205,6 +210,29 @@ def unknown_updates(spark, d):
     return D.upsert_panel(docs, updates)[1].select("project", "panel_id")
 
 
+def document_files(spark, d):
+    """Documents in slices of two bubbles, written as one file per project and read again."""
+    t, path = Tables(spark, d), f"{checkpoint_folder(spark)}/documents-{uuid.uuid4().hex}"
+    write_documents(D.document_rows(_panels(t), _texts(t), slice_size=2), path)
+    said = F.array_join(F.transform("bubbles", lambda b: b.getField("corrected_text")), "|")
+    return read_documents(spark, path, slice_size=2).select(
+        "project", "pos", "slice", "panel_id", "image_path", F.size("bubbles").alias("bubbles"), said.alias("texts"))
+
+
+def document_table_upsert(spark, d):
+    """The update of ``upsert_panel`` merged into a bucketed table whose panels are cut into slices of two bubbles."""
+    t, path = Tables(spark, d), f"{checkpoint_folder(spark)}/documents-{uuid.uuid4().hex}"
+    create_document_table(D.document_rows(_panels(t), _texts(t), slice_size=2), path, buckets=16)
+    seen = t.read("labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("panel_id"))
+    updates = D.document_rows(_panels(t), _texts(t)).join(seen, "panel_id", "left_semi").withColumn("bubbles", F.transform(
+        F.slice("bubbles", 1, 2), lambda b: b.withField("corrected_text", F.lit("seen"))))
+    merge_document_table(updates, path, slice_size=2)
+    said = F.transform("bubbles", lambda b: b.getField("corrected_text"))
+    slices = F.sort_array(F.collect_list(F.struct("slice", said.alias("said"))))
+    return read_document_table(spark, path).groupBy("project", "panel_id").agg(
+        F.sum(F.size("bubbles")).cast("int").alias("bubbles"), F.array_join(F.flatten(F.transform(slices, lambda s: s["said"])), "|").alias("texts"))
+
+
 # --- names and texts -------------------------------------------------------------------------------
 
 def path_names(spark, d):
@@ -296,7 +324,7 @@ QUERIES = {f.__name__: f for f in (
     read_listing, list_panels, list_projects, sync_panels_append, sync_panels_replace, sync_diff, prefer_source_path,
     prefer_source_path_strict, missing_artifacts, artifact_status, installed_only, case_matrix, detector_matrix,
     lookup_detector, lookup_variant, resolve_upscale, attach_results, layer_settings, build_documents, document_json,
-    bubbles_json, upsert_panel, unknown_updates, path_names, sanitize_names, canonical_engine, repair_mojibake,
+    bubbles_json, upsert_panel, unknown_updates, document_files, document_table_upsert, path_names, sanitize_names, canonical_engine, repair_mojibake,
     text_or_fallback, merge_text_lines, merge_text_simple, map_merge_rows, parse_request_lines)}
 
 ORACLE = {
@@ -384,6 +412,13 @@ shown AS (SELECT project, p.panel_id, bubble_id, CASE WHEN seen THEN 'seen' ELSE
 SELECT project, CAST(panel_id AS VARCHAR) AS panel_id, CAST(count(bubble_id) AS INT) AS bubbles,
        coalesce(string_agg(said, '|' ORDER BY reading_order) FILTER (WHERE bubble_id IS NOT NULL), '') AS texts
 FROM shown GROUP BY project, panel_id""",
+    "document_files": f"""{views('bubble')},{_DOC_SQL},
+placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY panel_id) - 1 AS pos FROM panels),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY panel_id ORDER BY reading_order) - 1) // 2 AS slice FROM texts)
+SELECT project, pos, CAST(coalesce(slice, 0) AS BIGINT) AS slice, CAST(p.panel_id AS VARCHAR) AS panel_id, image_path,
+       CAST(count(bubble_id) AS INT) AS bubbles,
+       coalesce(string_agg(corrected_text, '|' ORDER BY reading_order) FILTER (WHERE bubble_id IS NOT NULL), '') AS texts
+FROM placed p LEFT JOIN cut c ON c.panel_id = p.panel_id GROUP BY project, pos, slice, p.panel_id, image_path""",
     "unknown_updates": f"""{views('bubble')},{_DOC_SQL}
 SELECT project, panel_id || 'x' AS panel_id FROM panels WHERE panel_id % 4 = 0""",
     "path_names": """
@@ -423,3 +458,4 @@ SELECT CASE WHEN k >= 4 AND event_id % 2 = 0 THEN CAST(event_id % 50 AS INT) ELS
        CASE k WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'output_dir missing' WHEN 3 THEN 'image_b64 is not base64' END AS error
 FROM (SELECT *, event_id % 11 AS k FROM events) WHERE k <> 0""",
 }
+ORACLE["document_table_upsert"] = ORACLE["upsert_panel"]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from foliospark.operators.documents import BUBBLE_TYPE, DOCUMENT_SCHEMA, PART_SIZE
+from foliospark.sources.storage import storage_of
 
 FORMAT = "project_documents"
 _LINES = "project string, pos bigint, slice bigint, panel_id string, image_path string, bubbles string"
@@ -33,12 +34,6 @@ def file_name(project: str | None) -> str:
     return f"project-{quoted}.json"
 
 
-def _storage(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
@@ -52,7 +47,7 @@ class DocumentWriter(DataSourceWriter):
         self.pending = f"_pending-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> Written:
-        storage, root = _storage(self.path)
+        storage, root = storage_of(self.path)
         folder = posixpath.join(root, self.pending, uuid.uuid4().hex)
         storage.create_dir(folder, recursive=True)
         files, out, project, place = [], None, None, None
@@ -77,7 +72,7 @@ class DocumentWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        storage, root = _storage(self.path)
+        storage, root = storage_of(self.path)
         placed = {final: made for m in messages if m is not None for made, final in m.files}
         if self.overwrite:
             for name in _files(storage, root):
@@ -88,7 +83,7 @@ class DocumentWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        storage, root = _storage(self.path)
+        storage, root = storage_of(self.path)
         folder = posixpath.join(root, self.pending)
         if storage.get_file_info(folder).type.name != "NotFound":
             storage.delete_dir(folder)
@@ -116,13 +111,13 @@ class DocumentReader(DataSourceReader):
         self.path, self.slice_size = path, slice_size
 
     def partitions(self) -> list[ProjectFile]:
-        storage, root = _storage(self.path)
+        storage, root = storage_of(self.path)
         return [ProjectFile(p) for p in _files(storage, root)] or [ProjectFile("")]
 
     def read(self, partition: ProjectFile) -> Iterator[tuple]:
         if not partition.path:
             return
-        storage, _ = _storage(self.path)
+        storage, _ = storage_of(self.path)
         with storage.open_input_stream(partition.path) as stream:
             lines = _decoded(stream)
             head = next(lines, "")

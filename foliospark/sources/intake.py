@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.names import base_name
 from foliospark.skew import number_rows
-from foliospark.sources.pages import expand_archives, list_sources, opened
+from foliospark.sources.pages import expand_archives, list_sources
+from foliospark.sources.storage import opened
 
 _MANIFEST = "path string, kind string, length long, modified timestamp, run long"
 _PAGES = "path string, page_num int, name string, data binary, run long"

@@ -6,8 +6,6 @@ import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 from contextlib import ExitStack
-from typing import IO
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from foliospark.functions.names import ARCHIVE_EXTENSIONS, PAGE_EXTENSIONS, base
 from foliospark.operators.order import unique_ids
 from foliospark.session import cut_lineage
 from foliospark.skew import number_rows
+from foliospark.sources.storage import opened
 
 
 def _folder(path: str):
@@ -57,18 +56,6 @@ TASK_BYTES = 128 << 20
 _UNREADABLE = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, ValueError)
 
 
-def opened(path: str) -> IO[bytes]:
-    """A file for reading at any place, by its path as Spark lists it."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
-    if "://" in path:
-        storage, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-        return storage.open_input_file(place)
-    return fs.LocalFileSystem().open_input_file(path)
-
-
 def _directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Central directories: the end of each archive is read, no entry."""
     for batch in batches:

@@ -29,5 +29,5 @@ def test_entry(spark):
 def test_contract():
     queries, oracle = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracle) <= set(queries)
-    # Trained models, SimHash and pieces are tested against brute force instead, personal data and pages by their rules.
-    assert set(queries) - set(oracle) <= {"pipeline"} | {q for q in queries if q.startswith("op")}
+    # Trained models, SimHash, pieces and seeded clusters are tested against brute force instead, personal data and pages by their rules.
+    assert set(queries) - set(oracle) <= {"pipeline", "seeded_clusters"} | {q for q in queries if q.startswith("op")}
