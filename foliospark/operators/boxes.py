@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliospark.functions.geometry import CORNERS, box_area, box_iou, box_overlap_min, boxes_meet, half_up
+from foliospark.operators.asof import codes, nearest_other, walk_arrays, whole_keys
 from foliospark.operators.order import assign_reading_order, bubble_numbers, nth_free
 from foliospark.operators.suppress import FOLD_LIMIT, greedy_keep, iou_above
 from foliospark.session import cut_lineage
@@ -181,52 +185,108 @@ def snap_to_grid(df: DataFrame, *, step: int = 8, columns: Sequence[str] = ("x1"
     return df.withColumns({c: (half_up(F.col(c) / step) * step).cast("long") for c in columns})
 
 
+def _snapped(threshold: int):
+    """Origins of the moved boxes of a task: whole pages, one ordered walk each way."""
+    def work(rows: pa.Table) -> pa.Table:
+        moving = rows.column("_row").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        page, owner = codes(rows.column("_page")), codes(rows.column("_owner"))
+        origins = []
+        marks, boxes = np.flatnonzero(~moving & (page >= 0)), np.flatnonzero(moving & (page >= 0) & (owner >= 0))
+        for axis in "xy":
+            lo, hi = (rows.column(f"_{axis}{n}").combine_chunks() for n in (1, 2))
+            known = [c.is_valid().to_numpy(zero_copy_only=False) for c in (lo, hi)]
+            lo, hi = (c.fill_null(0).to_numpy(zero_copy_only=False) for c in (lo, hi))
+            usable = boxes[known[0][boxes] & known[1][boxes]]
+            own = [marks[k[marks]] for k in known]
+            event = np.concatenate([*own, usable, usable])
+            at = np.concatenate([lo[own[0]], hi[own[1]], lo[usable], hi[usable]])
+            probe = np.arange(len(event)) >= len(own[0]) + len(own[1])
+            origin, best = np.zeros(len(rows), at.dtype), None
+            for found in walk_arrays(page[event], at, owner[event], probe):
+                for kind, half in enumerate(np.split(np.flatnonzero(probe), 2)):
+                    mark = np.where(found[half] >= 0, at[found[half]], 0)
+                    gap = np.where(found[half] >= 0, np.abs(mark - at[half]), threshold + 1)
+                    rank = (gap, np.full(len(half), kind), mark)
+                    if best is None:
+                        best, take = rank, np.ones(len(half), bool)
+                    else:
+                        take = (rank[0] < best[0]) | (rank[0] == best[0]) & ((rank[1] < best[1]) | (rank[1] == best[1]) & (rank[2] < best[2]))
+                        best = tuple(np.where(take, r, q) for r, q in zip(rank, best))
+                    origin[usable[take]] = (mark - kind * (hi[usable] - lo[usable]))[take]
+            none = np.ones(len(rows), bool)
+            none[usable] = ~(best[0] <= threshold)
+            origins.append(pa.array(origin, mask=none))
+        return pa.table({"_row": rows.column("_row"), "_ox": origins[0], "_oy": origins[1]}).filter(pa.array(moving))
+
+    return lambda batches: whole_keys(batches, "_page", work)
+
+
 def snap_to_edges(
     moved: DataFrame, boxes: DataFrame, pages: DataFrame, *, threshold: int = 8, page: str = "page_id",
-    box: str = "box_id",
+    box: str = "box_id", limit: int | None = GROUP_LIMIT,
 ) -> DataFrame:
     """Snap the origin of a moved box to the nearest edge within ``threshold``, per axis.
 
     Candidates are the page borders and the edges of the other boxes; the leading and the trailing
     edge of the moved box are both tried.  Nearest first, then leading, then the smaller coordinate.
-    Edges are reduced to distinct coordinates per page before they meet the moved boxes, so a
-    crowded page costs a bounded number of candidates per edge.
+    Rows go to the task of their page and are walked there in order of their coordinates, once each
+    way; pages with more than ``limit`` rows are walked in slices of the coordinates
+    (:mod:`foliospark.operators.asof`).  Boxes without an id or a page stay.
     """
-    def edges(df: DataFrame, at: dict[str, Sequence[Column]], owner: Column) -> DataFrame:
-        listed = [F.struct(F.lit(axis).alias("_axis"), c.alias("_at")) for axis, cs in at.items() for c in cs]
-        return df.select(page, F.explode(F.array(*listed)).alias("_e"), owner.alias("_owner")).select(page, "_e.*", "_owner")
-
-    own = edges(boxes, {a: (F.col(f"{a}1"), F.col(f"{a}2")) for a in "xy"}, F.col(box))
-    border = edges(pages, {"x": (F.lit(0), F.col("w")), "y": (F.lit(0), F.col("h"))},
-                   F.lit(None).cast(boxes.schema[box].dataType))
-
-    # Two different owners (or the border) are enough to know that somebody else has the edge.
-    # Wide bands, so that most probes fall into a single one.
-    band = 8 * (threshold + 1)
-    candidates = (own.unionByName(border).groupBy(page, "_axis", "_at")
-                  .agg(F.min("_owner").alias("_lo"), F.max("_owner").alias("_hi"),
-                       F.max(F.col("_owner").isNull()).alias("_border"))
-                  .withColumn("_band", F.floor(F.col("_at") / band).cast("long")))
-
-    def probe(axis: str, kind: int) -> Column:
-        edge = F.col(f"{axis}2") if kind else F.col(f"{axis}1")
-        return F.struct(F.lit(axis).alias("_axis"), F.lit(kind).alias("_kind"), edge.alias("_edge"),
-                        (F.col(f"{axis}2") - F.col(f"{axis}1")).alias("_size"))
-
-    probes = (moved.select(page, box, F.explode(F.array(*[probe(a, k) for a in "xy" for k in (0, 1)])).alias("_p"))
-              .select(page, box, "_p.*"))
-    first, last = (F.floor((F.col("_edge") + off) / band).cast("long") for off in (-threshold, threshold))
-    probes = probes.withColumn("_band", F.explode(F.sequence(first, last)))
-    gap = F.abs(F.col("_at") - F.col("_edge"))
-    other = F.col("_border") | (F.col("_lo") != F.col(box)) | (F.col("_hi") != F.col(box))
-    origin = F.when(F.col("_kind") == 0, F.col("_at")).otherwise(F.col("_at") - F.col("_size"))
-    hits = probes.join(candidates, [page, "_axis", "_band"]).where((gap <= threshold) & other)
-    best = {a: F.min(F.when(F.col("_axis") == a, F.struct(gap, "_kind", "_at", origin.alias("_origin")))) for a in "xy"}
-    snapped = hits.groupBy(page, box).agg(best["x"].alias("_sx"), best["y"].alias("_sy"))
-    out = moved.join(snapped, [page, box], "left")
-    x, y = (F.coalesce(F.col(f"_s{a}._origin"), F.col(f"{a}1")).cast(moved.schema[f"{a}1"].dataType) for a in "xy")
-    return out.withColumns({"x1": x, "y1": y, "x2": x + F.col("x2") - F.col("x1"), "y2": y + F.col("y2") - F.col("y1")}
-                           ).select(*moved.columns)
+    whole = {moved.schema[c].dataType.typeName() for c in CORNERS} <= {"byte", "short", "integer", "long"}
+    whole &= {boxes.schema[c].dataType.typeName() for c in CORNERS} <= {"byte", "short", "integer", "long"}
+    whole &= {pages.schema[c].dataType.typeName() for c in "wh"} <= {"byte", "short", "integer", "long"}
+    number = "long" if whole else "double"
+
+    def slim(df: DataFrame, owner: Column, corners: Sequence[Column], row: Column) -> DataFrame:
+        return df.select(F.col(page).alias("_page"), owner.alias("_owner"), row.alias("_row"),
+                         *[c.cast(number).alias(f"_{n}") for n, c in zip(CORNERS, corners)])
+
+    corners = [F.col(c) for c in CORNERS]
+    none = F.lit(None).cast(StructType(moved.schema.fields))
+    rows = (slim(moved, F.col(box), corners, F.struct(*[F.col(c) for c in moved.columns]))
+            .unionByName(slim(boxes, F.col(box), corners, none))
+            # A page is a box of nobody.
+            .unionByName(slim(pages, F.lit(None).cast(boxes.schema[box].dataType), [F.lit(0), F.lit(0), F.col("w"), F.col("h")], none)))
+    out = StructType([*rows.select("_row").schema.fields, *rows.select(F.col("_x1").alias("_ox"), F.col("_y1").alias("_oy")).schema.fields])
+
+    def cold(rows: DataFrame) -> DataFrame:
+        return rows.repartition("_page").sortWithinPartitions("_page").mapInArrow(_snapped(threshold), out)
+
+    hot = hot_keys(rows, ["_page"], limit)
+    if hot is None:
+        snapped = cold(rows)
+    else:
+        few, many = split_hot(rows, ["_page"], hot)
+        snapped = cold(few).unionByName(_snapped_slices(cut_lineage(many), threshold, number))
+    x, y = (F.coalesce(F.col(f"_o{a}"), F.col(f"{a}1")).cast(moved.schema[f"{a}1"].dataType) for a in "xy")
+    snapped = snapped.select("_row.*", "_ox", "_oy")
+    return snapped.withColumns({"x1": x, "y1": y, "x2": x + F.col("x2") - F.col("x1"), "y2": y + F.col("y2") - F.col("y1")}
+                               ).select(*moved.columns)
+
+
+def _snapped_slices(rows: DataFrame, threshold: int, number: str) -> DataFrame:
+    """Origins of the moved boxes of very large pages."""
+    # Rows need no id of their own: the number is fixed by the caller's checkpoint and lives in this step only.
+    rows = cut_lineage(rows.withColumn("_n", F.monotonically_increasing_id()))
+
+    def event(axis: str, kind: int) -> Column:
+        lead, trail = F.col(f"_{axis}1"), F.col(f"_{axis}2")
+        return F.struct(F.lit(axis).alias("_axis"), F.lit(kind).alias("_kind"), (trail if kind else lead).alias("_at"),
+                        (trail - lead).alias("_size"))
+
+    events = rows.select("_page", "_owner", "_n", F.col("_row").isNotNull().alias("_probe"),
+                         F.inline(F.array(*[event(a, k) for a in "xy" for k in (0, 1)])))
+    events = events.where("_page is not null and not (_probe and (_owner is null or _size is null))")
+    found = nearest_other(events, "_page", "_axis", at="_at", owner="_owner", probe="_probe", limit=0)
+
+    def hit(mark: str) -> Column:
+        gap, origin = F.abs(F.col(mark) - F.col("_at")), F.col(mark) - F.col("_kind") * F.col("_size")
+        return F.when(gap <= threshold, F.struct(gap.alias("gap"), "_kind", F.col(mark).alias("at"), origin.cast(number).alias("origin")))
+
+    nearer = found.withColumn("_hit", F.least(hit("below"), hit("above"))).where("_hit is not null")
+    best = nearer.groupBy("_n").agg(*[F.min(F.when(F.col("_axis") == a, F.col("_hit"))).alias(f"_s{a}") for a in "xy"])
+    return rows.where("_row is not null").join(best, "_n", "left").select("_row", F.col("_sx.origin").alias("_ox"), F.col("_sy.origin").alias("_oy"))
 
 
 def _gridded(df: DataFrame, cell: int) -> DataFrame:

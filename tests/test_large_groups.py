@@ -184,3 +184,28 @@ def test_overlap_pairs_large(spark):
         plain = B.overlap_pairs(data, metric=metric, threshold=threshold)
         assert plain.count() > 10
         assert rows(plain) == rows(B.overlap_pairs(data, metric=metric, threshold=threshold, limit=5, cell=64))
+
+
+@pytest.mark.parametrize("limit", [None, 6])
+def test_snap_to_edges_brute(spark, limit):
+    rng = random.Random(11)
+    schema = "page_id int, box_id int, x1 int, y1 int, x2 int, y2 int"
+    boxes = [(p, b, x, y, x + rng.randrange(60), y + rng.randrange(60)) for p, n in ((1, 40), (2, 3), (3, 1)) for b in range(n)
+             for x, y in [(rng.randrange(150), rng.randrange(150))]]
+    boxes += [(1, 90, 20, 20, 20, 20), (1, 91, 20, 20, 20, 20), (1, None, 131, 7, 140, 9), (None, 5, 1, 1, 2, 2), (9, 1, 3, 3, 5, 5)]
+    sizes = {1: (210, 210), 2: (100, 90), 3: (40, 40), 4: (5, 5)}
+    moved = [(p, b, x + rng.randrange(-6, 7), y + rng.randrange(-6, 7), x2, y2) for p, b, x, y, x2, y2 in boxes]
+
+    def axis(p, b, lo, hi, size, at):
+        marks = ([0, size] if size is not None else []) + [v for q in boxes if q[0] == p and q[1] != b for v in (q[2 + at], q[4 + at])]
+        found = [(abs(m - e), k, m, m - k * (hi - lo)) for m in marks for k, e in ((0, lo), (1, hi)) if abs(m - e) <= 8]
+        return min(found)[3] if found else lo
+
+    want = []
+    for p, b, x1, y1, x2, y2 in moved:
+        w, h = sizes.get(p, (None, None))
+        x, y = (x1, y1) if p is None or b is None else (axis(p, b, x1, x2, w, 0), axis(p, b, y1, y2, h, 1))
+        want.append((p, b, x, y, x + x2 - x1, y + y2 - y1))
+    out = B.snap_to_edges(spark.createDataFrame(moved, schema), spark.createDataFrame(boxes, schema),
+                          spark.createDataFrame([(p, *s) for p, s in sizes.items()], "page_id int, w int, h int"), limit=limit)
+    assert rows(out, "page_id", "box_id", "x1", "y1", "x2", "y2") == sorted(want, key=repr)
