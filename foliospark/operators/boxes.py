@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from foliospark.functions.geometry import CORNERS, box_area, box_iou, box_overlap_min, boxes_meet, half_up
 from foliospark.operators.asof import codes, nearest_other, walk_arrays, whole_keys
 from foliospark.operators.order import assign_reading_order, bubble_numbers, nth_free
+from foliospark.operators.quadtree import CELL, CELL_ROOM, in_cell, quad_cells
 from foliospark.operators.suppress import FOLD_LIMIT, greedy_keep, iou_above
 from foliospark.session import cut_lineage
 from foliospark.skew import GROUP_LIMIT, hot_keys, names, needed_limit, number_rows, same_key, split_hot
@@ -289,22 +290,16 @@ def _snapped_slices(rows: DataFrame, threshold: int, number: str) -> DataFrame:
     return rows.where("_row is not null").join(best, "_n", "left").select("_row", F.col("_sx.origin").alias("_ox"), F.col("_sy.origin").alias("_oy"))
 
 
-def _gridded(df: DataFrame, cell: int) -> DataFrame:
-    for axis in "xy":
-        lo, hi = (F.floor(F.col(f"{axis}{n}") / cell).cast("long") for n in (1, 2))
-        df = df.withColumn(f"_g{axis}", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-    return df
-
-
 def overlap_pairs(
     det: DataFrame, *, metric: str = "iou", threshold: float = 0.45, by: str = "page_id", id: str = "det_id",
-    limit: int | None = PAIR_LIMIT, cell: int = 512,
+    limit: int | None = PAIR_LIMIT, cell: float = 1, room: int = CELL_ROOM,
 ) -> DataFrame:
     """Box pairs of a page whose overlap (``iou``, or ``min`` for the smaller area) exceeds ``threshold``.
 
-    On pages above ``limit`` boxes only boxes of one grid cell meet, and a pair is reported by the
+    On pages above ``limit`` boxes only boxes of one cell meet, and a pair is reported by the
     cell that holds the corner of its intersection, so neither all pairs of the page nor a
-    de-duplication is needed.
+    de-duplication is needed.  Cells follow the boxes (:func:`foliospark.operators.quadtree.quad_cells`):
+    they hold about ``room`` boxes and are at least ``cell`` wide.
     """
     measure = {"iou": box_iou, "min": box_overlap_min}[metric]
     def side(df: DataFrame, name: str, *cells: str) -> DataFrame:
@@ -320,34 +315,45 @@ def overlap_pairs(
         pairs = met(slim)
     else:
         cold, warm = split_hot(slim, [by], hot)
-        home = [F.col(f"_g{x}") == F.floor(F.greatest(f"a_{x}1", f"b_{x}1") / cell) for x in "xy"]
-        pairs = met(cold).unionByName(met(_gridded(warm, cell), "_gx", "_gy").where(home[0] & home[1]).drop("_gx", "_gy"))
+        leaves = cut_lineage(quad_cells(warm, [by], room=room, finest=cell))
+        home = [in_cell(x, F.greatest(f"a_{x}1", f"b_{x}1")) for x in "xy"]
+        pairs = met(cold).unionByName(met(leaves, *CELL).where(home[0] & home[1]).drop(*CELL))
     return (pairs.withColumn("overlap", measure("a_", "b_")).where(F.col("overlap") > threshold)
             .select(by, "a_id", "b_id", "overlap"))
 
 
 def new_boxes_only(
     new: DataFrame, existing: DataFrame, *, iou: float = 0.45, by: str | Sequence[str] = "panel_id",
-    limit: int | None = FOLD_LIMIT, cell: int = 256,
+    limit: int | None = FOLD_LIMIT, cell: float = 1, room: int = CELL_ROOM,
 ) -> DataFrame:
-    """Drop new boxes whose IoU with an existing box of the panel reaches ``iou``."""
+    """Drop new boxes whose IoU with an existing box of the panel reaches ``iou``.
+
+    Panels with more than ``limit`` existing boxes meet in cells that hold about ``room`` boxes and are
+    at least ``cell`` wide, as in :func:`overlap_pairs`; the other panels meet as they are.
+    """
     by = names(by)
     clash = iou_above(iou, inclusive=True)
 
     def other(df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(f"_e_{c}") for c in df.columns])
 
-    hot = hot_keys(existing, by, limit)
-    if hot is None:
+    def unmet(new: DataFrame, existing: DataFrame) -> DataFrame:
         old = other(existing.select(*by, *CORNERS))
         cond = same_key(new, by, old, [f"_e_{c}" for c in by]) & F.expr(clash("_e_", ""))
         return new.join(old, cond, "left_anti")
-    at = [*by, "_gx", "_gy"]
+
+    hot = hot_keys(existing, by, limit)
+    if hot is None:
+        return unmet(new, existing)
+    (cold, warm), (cold_old, warm_old) = split_hot(new, by, hot), split_hot(existing, by, hot)
     # Rows need no id of their own: the number is fixed by the checkpoint and lives in this step only.
-    new = cut_lineage(new.withColumn("_row", F.monotonically_increasing_id()))
-    near, old = _gridded(new, cell), other(_gridded(existing.select(*by, *CORNERS), cell))
+    warm = cut_lineage(warm.withColumn("_row", F.monotonically_increasing_id()))
+    both = warm.select(*by, *CORNERS, "_row").unionByName(warm_old.select(*by, *CORNERS, F.lit(-1).cast("long").alias("_row")))
+    leaves = cut_lineage(quad_cells(both, by, room=room, finest=cell))
+    near, old, at = leaves.where("_row >= 0"), other(leaves.where("_row < 0")), [*by, *CELL]
     cond = same_key(near, at, old, [f"_e_{c}" for c in at]) & F.expr(clash("_e_", ""))
-    return new.join(near.join(old, cond, "left_semi").select("_row").distinct(), "_row", "left_anti").drop("_row")
+    met = near.join(old, cond, "left_semi").select("_row").distinct()
+    return unmet(cold, cold_old).unionByName(warm.join(met, "_row", "left_anti").drop("_row"))
 
 
 def append_dedup(

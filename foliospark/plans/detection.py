@@ -202,6 +202,12 @@ def overlap_pairs(spark, d):
     return B.overlap_pairs(_numbered_det(Tables(spark, d)), threshold=0.45).withColumn("overlap", rounded(F.col("overlap")))
 
 
+def overlap_pairs_large_pages(spark, d):
+    """The way of crowded pages, taken by every page above six boxes, with cells of about four."""
+    pairs = B.overlap_pairs(_numbered_det(Tables(spark, d)), threshold=0.45, limit=6, room=4)
+    return pairs.withColumn("overlap", rounded(F.col("overlap")))
+
+
 def containment_pairs(spark, d):
     pairs = B.overlap_pairs(_numbered_det(Tables(spark, d)), metric="min", threshold=0.7)
     return pairs.withColumn("overlap", rounded(F.col("overlap")))
@@ -212,6 +218,19 @@ def new_boxes_only(spark, d):
     return B.new_boxes_only(det.where("class_id = 1"), det.where("class_id = 0"), by="page_id")
 
 
+def new_boxes_large_pages(spark, d):
+    """The way of crowded panels, taken above three existing boxes, with cells of about four."""
+    det = Tables(spark, d).det()
+    return B.new_boxes_only(det.where("class_id = 1"), det.where("class_id = 0"), by="page_id", limit=3, room=4)
+
+
+def snap_large_pages(spark, d):
+    """The way of pages too large for one task, taken by every page above six rows."""
+    t = Tables(spark, d)
+    all_boxes = _numbered_det(t).select("page_id", F.col("det_id").alias("box_id"), "x1", "y1", "x2", "y2")
+    return B.snap_to_edges(all_boxes, all_boxes, t.page(), threshold=8, limit=6)
+
+
 class _FormulaDetector:
     """Stand-in model: boxes by arithmetic on the page size."""
 
@@ -272,7 +291,7 @@ QUERIES = {f.__name__: f for f in (
     decode_detections, decode_single_class, decode_multi_class, filter_score, to_corners, rescale_clip, filter_min_area,
     normalize_bbox, padded_window, clamp_window, validate_bubbles, snap_to_grid, snap_to_edges, plan_tiles,
     translate_tiles, merge_tile_boxes, union_tiles, nms, nms_large_pages, suppress_contained, overlap_pairs, containment_pairs,
-    new_boxes_only, detect_pages)}
+    new_boxes_only, detect_pages, overlap_pairs_large_pages, new_boxes_large_pages, snap_large_pages)}
 
 _NMS = f"""{views('det', recursive=True)}, strong AS (SELECT * FROM det WHERE score > 350),
 {greedy('kept', 'strong', 'page_id', DET, RANK, IOU_ABOVE)}
@@ -345,3 +364,5 @@ SELECT page_id, CAST(k AS INT) AS det_id, CAST(k * 100 + w % 7 AS DOUBLE) AS x1,
        CAST(k % 2 AS INT) AS class_id
 FROM page, range(4) AS g(k) WHERE k < w % 4""",
 }
+ORACLE |= {"overlap_pairs_large_pages": ORACLE["overlap_pairs"], "new_boxes_large_pages": ORACLE["new_boxes_only"],
+           "snap_large_pages": ORACLE["snap_to_edges"]}

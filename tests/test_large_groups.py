@@ -12,6 +12,7 @@ from foliospark.operators import documents as D
 from foliospark.operators import order as O
 from foliospark.operators import suppress as S
 from foliospark.operators.layout import layout_pages, panel_manifest
+from foliospark.operators.quadtree import quad_cells
 from foliospark.operators.text import merge_text_lines
 from foliospark.skew import in_parts, number_rows, prefix_scan
 
@@ -209,3 +210,37 @@ def test_snap_to_edges_brute(spark, limit):
     out = B.snap_to_edges(spark.createDataFrame(moved, schema), spark.createDataFrame(boxes, schema),
                           spark.createDataFrame([(p, *s) for p, s in sizes.items()], "page_id int, w int, h int"), limit=limit)
     assert rows(out, "page_id", "box_id", "x1", "y1", "x2", "y2") == sorted(want, key=repr)
+
+
+def test_quad_cells(spark):
+    rng = random.Random(2)
+    # A crowd in one corner, a box over the whole page, a pile of copies, a null corner, negative coordinates.
+    data = [(1, x, y, x + 4, y + 4) for _ in range(300) for x, y in [(rng.randrange(64), rng.randrange(64))]]
+    data += [(1, 0, 0, 1000, 1000), (2, -70, -5, -30, 12), (2, None, 1, 2, 3)] + [(3, 500, 500, 540, 540)] * 50
+    df = spark.createDataFrame(data, "page_id int, x1 int, y1 int, x2 int, y2 int")
+    out = quad_cells(df, ["page_id"], room=10).collect()
+    sides = {p: {r._side for r in out if r.page_id == p} for p in (1, 2, 3)}
+    assert min(sides[1]) < 64 < max(sides[1]) and sides[2] == {1024.0} and min(sides[3]) >= 32
+    for r in out:
+        for a, g in ((r.x1, r._gx), (r.y1, r._gy)):
+            assert a < (g + 1) * r._side
+        assert r.x2 >= r._gx * r._side and r.y2 >= r._gy * r._side
+    # Leaves do not overlap: the corner of every box is in exactly one of its cells.
+    homes = {}
+    for r in out:
+        if r.x1 // r._side == r._gx and r.y1 // r._side == r._gy:
+            homes[(r.page_id, r.x1, r.y1, r.x2)] = homes.get((r.page_id, r.x1, r.y1, r.x2), 0) + 1
+    assert sum(homes.values()) == len(data) - 1
+    assert quad_cells(df.where("page_id = 9"), ["page_id"]).count() == 0
+
+
+@pytest.mark.parametrize("room", [3, 1000])
+def test_cells_change_no_result(spark, room):
+    data = spark.createDataFrame(random_boxes(21, {1: 120, 2: 3}, spread=200), SCHEMA)
+    data = number_rows(data, "page_id", [-F.col("score"), "x1", "y1", "x2", "y2"], "det_id")
+    plain = B.overlap_pairs(data, threshold=0.1, limit=None)
+    assert plain.count() > 50 and rows(plain) == rows(B.overlap_pairs(data, threshold=0.1, limit=5, room=room))
+    new, old = data.where("det_id % 2 = 0"), data.where("det_id % 2 = 1")
+    small = B.new_boxes_only(new, old, by="page_id", limit=None)
+    assert 0 < small.count() < new.count()
+    assert rows(small) == rows(B.new_boxes_only(new, old, by="page_id", limit=4, room=room).select(*small.columns))
