@@ -175,3 +175,23 @@ def test_personal_data(spark):
     assert {(r.doc_id, r.spans) for r in got if r.doc_id in (50, 51, 52, 53)} == {(50, "phone:11:19"), (51, ""), (52, ""), (53, "")}
     assert [r.base for r in got if r.doc_id is None] == ["email:5:11"]
     assert pii.personal_data(frame(spark, [])).collect() == []
+
+
+def test_edit_distance():
+    from foliospark.llm.lines import edit_distance
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abé字") for _ in range(rng.randrange(14))) for _ in range(2))
+        assert edit_distance(a, b) == plain(a, b)
+    long = "".join(rng.choice("abcdef ") for _ in range(500))
+    edited = "".join(rng.choice(("", "x", c + "y")) if rng.random() < 0.1 else c for c in long)
+    assert edit_distance(long, edited) == plain(long, edited)
