@@ -35,7 +35,8 @@ def document_rows(panels: DataFrame, bubbles: DataFrame, *, slice_size: int = PA
     row with [].  ``panels`` has one row per panel (``project, panel_id, image_path, pos``).
     """
     ordered = F.struct(F.coalesce("reading_order", F.lit(0)).cast("long").alias("_o"), "bubble_id")
-    ranked = number_rows(bubbles.withColumn("_order", ordered), "panel_id", ["_order"], "_nth", limit=limit)
+    # Equal order and id: the values decide which slice a bubble falls into, as they do inside one.
+    ranked = number_rows(bubbles.withColumn("_order", ordered), "panel_id", ["_order", bubble_struct()], "_nth", limit=limit)
     nested = (ranked.withColumn("slice", F.floor((F.col("_nth") - 1) / slice_size).cast("long")).groupBy("panel_id", "slice")
               .agg(F.sort_array(F.collect_list(F.struct("_order", bubble_struct().alias("b")))).alias("_sorted"))
               .select("panel_id", "slice", F.transform("_sorted", lambda s: s.getField("b")).alias("bubbles")))

@@ -312,6 +312,14 @@ _DOC_SQL = """
 panels AS (SELECT source AS project, doc_id AS panel_id, 'panels/' || doc_id || '.png' AS image_path FROM documents),
 texts AS (SELECT panel_id, bubble_id, pos + 1 AS reading_order, raw_text, CASE WHEN pos % 2 = 0 THEN raw_text ELSE '' END AS corrected_text,
                  CASE WHEN pos % 3 = 0 THEN 'sfx' ELSE 'speech' END AS type, x1, y1, x2, y2 FROM bubble)"""
+# Bubbles of a panel in slices, and panels (by id) in parts, of PART_SIZE each.
+_PARTS_SQL = f"""
+cut AS (SELECT *, (nth - 1) // {D.PART_SIZE} AS slice FROM (
+  SELECT *, row_number() OVER (PARTITION BY panel_id ORDER BY reading_order, bubble_id, raw_text) AS nth FROM texts)),
+parts AS (
+  SELECT *, CAST((place - 1) // {D.PART_SIZE} AS BIGINT) AS part_no FROM (
+    SELECT p.*, coalesce(c.slice, 0) AS slice, row_number() OVER (PARTITION BY project ORDER BY p.panel_id, coalesce(c.slice, 0)) AS place
+    FROM panels p LEFT JOIN (SELECT DISTINCT panel_id, slice FROM cut) c ON c.panel_id = p.panel_id))"""
 
 
 def _prefer(copy: str) -> str:
@@ -391,11 +399,11 @@ valid AS (SELECT * FROM patch WHERE value IS NOT NULL AND NOT (key = 'Customer#0
           AND NOT (key = 'Customer#000000005' AND value <> '1-URGENT') AND NOT (key = 'Customer#000000007' AND value NOT IN ('5-LOW', '')))
 SELECT * FROM valid UNION ALL
 SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.section = b.section AND v.key = b.key)""",
-    "build_documents": f"""{views('bubble')},{_DOC_SQL}
-SELECT project, CAST(0 AS BIGINT) AS part_no, CAST(p.panel_id AS VARCHAR) AS panel_id, image_path,
-       CASE WHEN bubble_id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY p.panel_id ORDER BY reading_order) - 1 AS INT) END AS pos,
+    "build_documents": f"""{views('bubble')},{_DOC_SQL},{_PARTS_SQL}
+SELECT project, part_no, CAST(p.panel_id AS VARCHAR) AS panel_id, image_path,
+       CASE WHEN bubble_id IS NOT NULL THEN CAST((nth - 1) % {D.PART_SIZE} AS INT) END AS pos,
        bubble_id, x1, y1, x2, y2, raw_text, corrected_text, type, reading_order
-FROM panels p LEFT JOIN texts t ON t.panel_id = p.panel_id""",
+FROM parts p LEFT JOIN cut t ON t.panel_id = p.panel_id AND t.slice = p.slice""",
     "document_json": f"""{views('bubble')},{_DOC_SQL},
 nested AS (SELECT panel_id, list({{'bubble_id': bubble_id, 'bbox': [x1, y1, x2, y2], 'raw_text': raw_text, 'corrected_text': corrected_text,
                                   'type': type, 'reading_order': reading_order}} ORDER BY reading_order) AS bubbles FROM texts GROUP BY panel_id)

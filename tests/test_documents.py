@@ -8,6 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from foliospark.operators import documents as D
+from foliospark.plans import cataloguing
 from foliospark.sources import document_table as table
 from foliospark.sources import documents as docs_io
 
@@ -137,3 +138,19 @@ def test_versioned_table(spark, tmp_path):
     assert table.merge_document_table(changed.limit(0), path)[0] == 2
     assert table.expire_versions(spark, path) == len(new) and exploded(table.read_document_table(spark, path)) == exploded(want)
     assert table.versions(spark, path) == [2]
+
+
+def test_check_sql_of_projects_above_a_part(spark, tmp_path):
+    """More panels than one part holds, and bubbles with equal ids and other texts."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(D.PART_SIZE + 12).selectExpr("id AS doc_id", "concat('s', id div 10010) AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    said = spark.range(40).selectExpr("id div 8 AS conv_id", "CAST(id % 8 div 2 AS INT) AS turn", "concat('t', (id * 7) % 10) AS text")
+    said.write.parquet(str(tmp_path / "conversations.parquet"))
+    for name in ("build_documents",):
+        con = duckdb.connect()
+        for t in ("documents", "conversations"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        want = con.sql(cataloguing.ORACLE[name])
+        got = cataloguing.QUERIES[name](spark, str(tmp_path))
+        assert rows(got, *want.columns) == sorted(want.fetchall(), key=repr)
+        assert got.agg(F.max("part_no")).first()[0] == 1
