@@ -404,13 +404,13 @@ SELECT project, part_no, CAST(p.panel_id AS VARCHAR) AS panel_id, image_path,
        CASE WHEN bubble_id IS NOT NULL THEN CAST((nth - 1) % {D.PART_SIZE} AS INT) END AS pos,
        bubble_id, x1, y1, x2, y2, raw_text, corrected_text, type, reading_order
 FROM parts p LEFT JOIN cut t ON t.panel_id = p.panel_id AND t.slice = p.slice""",
-    "document_json": f"""{views('bubble')},{_DOC_SQL},
-nested AS (SELECT panel_id, list({{'bubble_id': bubble_id, 'bbox': [x1, y1, x2, y2], 'raw_text': raw_text, 'corrected_text': corrected_text,
-                                  'type': type, 'reading_order': reading_order}} ORDER BY reading_order) AS bubbles FROM texts GROUP BY panel_id)
-SELECT project, CAST(0 AS BIGINT) AS part_no,
+    "document_json": f"""{views('bubble')},{_DOC_SQL},{_PARTS_SQL},
+nested AS (SELECT panel_id, slice, list({{'bubble_id': bubble_id, 'bbox': [x1, y1, x2, y2], 'raw_text': raw_text, 'corrected_text': corrected_text,
+                                         'type': type, 'reading_order': reading_order}} ORDER BY nth) AS bubbles FROM cut GROUP BY panel_id, slice)
+SELECT project, part_no,
        CAST(to_json({{'project': project, 'panels': list({{'panel_id': CAST(p.panel_id AS VARCHAR), 'image_path': image_path,
-            'bubbles': coalesce(bubbles, [])}} ORDER BY p.panel_id)}}) AS VARCHAR) AS json
-FROM panels p LEFT JOIN nested n ON n.panel_id = p.panel_id GROUP BY project""",
+            'bubbles': coalesce(bubbles, [])}} ORDER BY place)}}) AS VARCHAR) AS json
+FROM parts p LEFT JOIN nested n ON n.panel_id = p.panel_id AND n.slice = p.slice GROUP BY project, part_no""",
     "bubbles_json": f"""{views('bubble')},{_DOC_SQL}
 SELECT panel_id, bubble_id, '' AS raw_text, raw_text AS corrected_text, type, reading_order, x1, y1, x2, y2 FROM texts""",
     "upsert_panel": f"""{views('bubble')},{_DOC_SQL},

@@ -146,7 +146,7 @@ def test_check_sql_of_projects_above_a_part(spark, tmp_path):
     spark.range(D.PART_SIZE + 12).selectExpr("id AS doc_id", "concat('s', id div 10010) AS source").write.parquet(str(tmp_path / "documents.parquet"))
     said = spark.range(40).selectExpr("id div 8 AS conv_id", "CAST(id % 8 div 2 AS INT) AS turn", "concat('t', (id * 7) % 10) AS text")
     said.write.parquet(str(tmp_path / "conversations.parquet"))
-    for name in ("build_documents",):
+    for name in ("build_documents", "document_json"):
         con = duckdb.connect()
         for t in ("documents", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
