@@ -183,6 +183,14 @@ def test_sinks(spark, tmp_path):
     assert text.startswith("file_name,source_id\n") and "global_order" not in text
 
 
+def test_manifest_of_many_sources(spark, tmp_path):
+    """Above the limit sources share folders, and every row can be read as before."""
+    df = spark.range(3000).selectExpr("id div 2 AS source_id", "CAST(id AS INT) AS global_order", "concat('f', id) AS file_name")
+    write_panel_manifest(df, str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("source*"))) <= 64
+    assert rows(spark.read.schema(df.schema).parquet(str(tmp_path / "m")), *df.columns) == rows(df, *df.columns)
+
+
 def image_frame(spark, arrays):
     data = [(i, tuple(I.image_dict("m", a).values())) for i, a in enumerate(arrays)]
     return spark.createDataFrame(data, f"page_id int, image {I.IMAGE_TYPE}")
