@@ -1,103 +1,140 @@
-"""Nearest earlier and later mark of another owner for every probe of a group, found by one ordered walk each way."""
+"""Nearest earlier and later mark of another owner for every probe of a line, found by one ordered walk each way."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from foliospark.session import cut_lineage
-from foliospark.skew import GROUP_LIMIT, hot_keys, names, same_key, split_hot
-
+from foliospark.session import stored
 
 # Rows of whole keys that a task walks at once.
 CHUNK_ROWS = 50_000
+# Marks and probes of a slice, about.
+SLICE_ROWS = 1_000_000
+# What a row of a walked slice tells: a mark near enough, a probe that looks on beyond the slice, a mark seen from other slices.
+HIT, OPEN, END = range(3)
 
 
-def nearest_other(
-    rows: DataFrame, by: str | Sequence[str], within: str | Sequence[str] = (), *, at: str = "at", owner: str = "owner",
-    probe: str = "is_probe", limit: int | None = GROUP_LIMIT,
-) -> DataFrame:
-    """Probes with ``below`` and ``above``: the nearest marks at or under, and at or over them, that another owner set.
+def near_marks(events: DataFrame, reach: float, count: int) -> DataFrame:
+    """``_n, _axis, _gap, _kind, _mark``: marks of another owner at most ``reach`` from a probe, the nearest among them.
 
-    ``rows`` holds marks and probes (boolean ``probe``) on the line ``at``; lines are apart by ``by`` and ``within``.  A mark
-    without an owner is foreign to every probe that has one.  Marks and probes without ``at`` find nothing.  Keys of ``by``
-    with more than ``limit`` rows are cut into slices of the line; the two last marks of different owners are what a slice
-    hands to the next one, so no group has to fit into a task.
+    ``events`` (about ``count`` rows) holds marks and probes at ``_at`` on the line (``_page``, ``_axis``), set by ``_owner``;
+    probes have the number ``_n`` and a ``_kind``, marks neither.  A mark without an owner is foreign to every probe.  The
+    rows are dealt once, in the order of lines and positions, to slices that tasks walk; a line that crosses a border is
+    taken up in the next slice by the two outermost marks of different owners of a slice, so no line has to fit into a task.
     """
-    by, line = names(by), [*names(by), *names(within)]
-    hot = hot_keys(rows, by, limit)
-    if hot is None:
-        return _walked(rows.repartition(*by), line, at, owner, probe)
-    cold, warm = split_hot(rows, by, hot)
-    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [*[F.col(c) for c in line], F.col(at), F.col(probe), F.col(owner)]
-    # Range bounds are sampled per execution, so both ways and their totals read one materialised slicing.
-    placed = cut_lineage(warm.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
-    return _walked(cold.repartition(*by), line, at, owner, probe).unionByName(_sliced(placed, line, at, owner, probe))
-
-
-def _walk(df: DataFrame, line: list[str], at: str, owner: str, probe: str, sign: int, own: Sequence[str] = ()) -> DataFrame:
-    """Adds the latest mark before each row and the latest one of an owner other than that mark's."""
-    mark = F.when(~F.col(probe) & F.col(at).isNotNull(), F.struct(F.col(at).alias("at"), F.col(owner).alias("owner")))
-    order = [F.col(at).asc() if sign > 0 else F.col(at).desc(), F.col(probe), F.col(owner)]
-    before = Window.partitionBy(*line, *own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    last, turn = f"_last{sign}", f"_turn{sign}"
-    df = df.withColumn(last, F.last(mark, ignorenulls=True).over(before))
-    df = df.withColumn(turn, F.when(mark.isNotNull() & ~F.col(last)["owner"].eqNullSafe(F.col(owner)), F.col(last)))
-    return df.withColumn(f"_other{sign}", F.last(turn, ignorenulls=True).over(before))
-
-
-def _foreign(owner: str, *found: Column) -> Column:
-    """The position of the first of some marks, latest first, that another owner set."""
-    return F.coalesce(*[F.when(~f["owner"].eqNullSafe(F.col(owner)), f["at"]) for f in found])
-
-
-def _walked(df: DataFrame, line: list[str], at: str, owner: str, probe: str) -> DataFrame:
-    kept = df.columns
-    for sign in (1, -1):
-        df = _walk(df, line, at, owner, probe, sign)
-    found = {name: _foreign(owner, F.col(f"_last{s}"), F.col(f"_other{s}")) for name, s in (("below", 1), ("above", -1))}
-    return df.where(probe).select(*kept, *[c.alias(name) for name, c in found.items()])
-
-
-def _sliced(placed: DataFrame, line: list[str], at: str, owner: str, probe: str) -> DataFrame:
-    out = placed
-    for name, sign in (("below", 1), ("above", -1)):
-        local = _walk(out, line, at, owner, probe, sign, ["_slice"])
-        carried = _handed_on(local, line, at, owner, probe, sign)
-        cond = same_key(local, line, carried, [f"_b{i}" for i in range(len(line))]) & (local["_slice"] == carried["_bs"])
-        marks = [F.col(f"{m}{sign}") for m in ("_last", "_other")] + [F.col("_in"), F.col("_in_other")]
-        out = local.join(carried, cond).withColumn(name, _foreign(owner, *marks)).select(*out.columns, name)
-    return out.where(probe).drop("_slice")
-
-
-def _handed_on(local: DataFrame, line: list[str], at: str, owner: str, probe: str, sign: int) -> DataFrame:
-    """Per line and slice the two latest marks of different owners in the slices before."""
-    last, turn, other = (F.col(f"{c}{sign}") for c in ("_last", "_turn", "_other"))
-    state = F.struct(F.struct(F.col(at).alias("at"), F.col(owner).alias("owner")).alias("m"), F.coalesce(turn, other).alias("o"))
-    is_mark = ~F.col(probe) & F.col(at).isNotNull()
-    # The last mark of the walk: the outermost position, and of equal ones the largest owner.
-    newest = F.max_by(state, F.when(is_mark, F.struct((F.col(at) * sign).alias("at"), F.col(owner).alias("owner"))))
-    ends = local.groupBy(*line, "_slice").agg(newest.alias("_s"))
-    # Two rows per line and slice, the earlier mark first: the same walk, over as many rows as there are slices.
-    marks = ends.select(*line, "_slice", F.posexplode(F.array("_s.o", "_s.m")).alias("_k", "_m"))
-    before = Window.partitionBy(*line).orderBy(F.col("_slice") * sign, "_k").rowsBetween(Window.unboundedPreceding, -1)
-    marks = marks.withColumn("_in", F.last("_m", ignorenulls=True).over(before))
-    change = F.when(F.col("_m").isNotNull() & ~F.col("_in")["owner"].eqNullSafe(F.col("_m")["owner"]), F.col("_in"))
-    marks = marks.withColumn("_change", change).withColumn("_in_other", F.last("_change", ignorenulls=True).over(before))
-    keys = [F.col(c).alias(f"_b{i}") for i, c in enumerate(line)]
-    return marks.where("_k = 0").select(*keys, F.col("_slice").alias("_bs"), "_in", "_in_other")
-
-
-def whole_keys(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
-    """``work`` over tables that hold each key whole, from batches sorted by ``key``; a task holds a chunk and one key."""
+    slices = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // SLICE_ROWS))
+    order = ["_page", "_axis", "_at", "_n", "_owner"]
+    kinds = {f.name: f for f in events.schema.fields}
+    out = StructType().add("_what", "integer").add("_n", "long").add("_axis", "integer").add("_kind", "integer")
+    out = out.add("_gap", kinds["_at"].dataType).add("_mark", kinds["_at"].dataType)
+    out = out.add("_page", kinds["_page"].dataType).add("_owner", kinds["_owner"].dataType).add("_way", "integer").add("_slice", "integer")
+    dealt = events.select("_page", "_axis", "_at", "_owner", "_n", "_kind").repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    # Range bounds are sampled per execution, so what the slices found is read from one materialised walk.
+    walked = stored(dealt.mapInArrow(_slice_walk(reach), out))
+    line = ["_page", "_axis", "_way"]
+    state = StructType([out[c] for c in line]).add("_from", "integer").add("_to", "integer")
+    for k in "12":
+        state = state.add(f"_m{k}", out["_mark"].dataType).add(f"_o{k}", out["_owner"].dataType)
+    # Four marks a slice at most.
+    states = events.sparkSession.createDataFrame(_handed_on(walked.where(f"_what = {END}").collect()), state)
+    late = walked.where(f"_what = {OPEN}").drop("_gap").withColumnRenamed("_mark", "_at")
+    late = late.join(F.broadcast(states), line).where("_slice between _from and _to")
+    mark = F.when(~F.col("_owner").eqNullSafe(F.col("_o1")), F.col("_m1")).when(~F.col("_owner").eqNullSafe(F.col("_o2")), F.col("_m2"))
+    late = late.withColumn("_mark", mark).withColumn("_gap", F.abs(F.col("_mark") - F.col("_at"))).where(F.col("_gap") <= reach)
+    found = ["_n", "_axis", "_gap", "_kind", "_mark"]
+    return walked.where(f"_what = {HIT}").select(*found).unionByName(late.select(*found))
+
+
+def _handed_on(ends: list) -> list[tuple]:
+    """(line, way, first and last slice, two latest marks of different owners before these slices with their owners)."""
+    lines: dict[tuple, dict[int, list]] = {}
+    for e in ends:
+        lines.setdefault((e["_page"], e["_axis"], e["_way"]), {}).setdefault(e["_slice"], []).append((e["_kind"], e["_mark"], e["_owner"]))
+    out, none = [], (None, None)
+    for line, found in lines.items():
+        way, last, other = line[2], none, none
+        places = sorted(found, reverse=way < 0)
+        for place, after in zip(places, [*places[1:], places[-1] + way * 2**30]):
+            newest, *rest = [(mark, owner) for _, mark, owner in sorted(found[place], key=lambda e: e[0])]
+            # Until now the state was of an earlier slice; a slice with one owner keeps the last mark of another.
+            other = rest[0] if rest else last if last != none and last[1] != newest[1] else other
+            last = newest
+            out.append((*line, min(place + way, after), max(place + way, after), *last, *other))
+    return out
+
+
+def _slice_walk(reach: float):
+    """Marks near the probes of a slice, its probes that may find more beyond it, and its outermost marks."""
+
+    def piece(rows: pa.Table, first: bool, last: bool) -> pa.Table:
+        axis, kind = (rows.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("_axis", "_kind"))
+        number, at = rows.column("_n").combine_chunks(), rows.column("_at").combine_chunks().to_numpy(zero_copy_only=False)
+        probe = number.is_valid().to_numpy(zero_copy_only=False)
+        number = number.fill_null(-1).to_numpy(zero_copy_only=False)
+        line, owner = 2 * codes(rows.column("_page")) + axis, codes(rows.column("_owner"))
+        probes, place = np.flatnonzero(probe), TaskContext.get().partitionId()
+        near, parts = [], []
+
+        def part(what, at_rows, way, nth=None):
+            some = len(at_rows)
+            kinds = kind[at_rows] if nth is None else nth
+            return {"_what": np.full(some, what), "_n": number[at_rows], "_axis": axis[at_rows], "_kind": kinds, "_gap": np.zeros(some, at.dtype),
+                    "_mark": at[at_rows], "_page": rows.column("_page").take(pa.array(at_rows)), "_owner": rows.column("_owner").take(pa.array(at_rows)),
+                    "_way": np.full(some, way), "_slice": np.full(some, place)}
+
+        for way, found, edge, open_ in zip((1, -1), walk_arrays(line, at, owner, probe), (0, -1), (first, last)):
+            hit = found[probes]
+            gap = np.abs(at[hit] - at[probes])
+            ok = (hit >= 0) & (gap <= reach)
+            near.append(np.stack([probes[ok], hit[ok]]))
+            if open_:
+                beyond = probes[(hit < 0) & (line[probes] == line[edge]) & (np.abs(at[probes] - at[edge]) <= reach)]
+                parts.append(part(OPEN, beyond, way))
+        near = np.concatenate(near, axis=1)
+        gap, mark = np.abs(at[near[1]] - at[near[0]]), at[near[1]]
+        best = np.lexsort((mark, kind[near[0]], gap, axis[near[0]], number[near[0]]))
+        same = number[near[0][best]] * 2 + axis[near[0][best]]
+        best = best[np.append(True, np.diff(same) != 0)[: len(best)]]
+        hits = part(HIT, near[0][best], 0)
+        hits |= {"_gap": gap[best], "_mark": mark[best], "_page": pa.nulls(len(best), rows.schema.field("_page").type),
+                 "_owner": pa.nulls(len(best), rows.schema.field("_owner").type)}
+        # The outermost mark and the next one of another owner: of the first line for the slices before, of the last for those behind.
+        for way, edge, shown in ((-1, 0, first), (1, -1, last)):
+            marks = np.flatnonzero(~probe & (line == line[edge]))[::-way]
+            if shown and len(marks):
+                ends = np.append(marks[:1], marks[owner[marks] != owner[marks[0]]][:1])
+                parts.append(part(END, ends, way, np.arange(len(ends))))
+        kinds = {"_what": pa.int32(), "_n": pa.int64(), "_axis": pa.int32(), "_kind": pa.int32(), "_way": pa.int32(), "_slice": pa.int32()}
+        tables = [pa.table({c: pa.array(v, kinds.get(c)) if isinstance(v, np.ndarray) else v for c, v in p.items()}) for p in (hits, *parts)]
+        return pa.concat_tables(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+        for table in key_chunks(batches, "_page"):
+            if held is not None:
+                yield from piece(held, first, False).to_batches()
+                first = False
+            held = table
+        if held is not None:
+            yield from piece(held, first, True).to_batches()
+
+    return run
+
+
+def key_chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold each key whole, from batches sorted by ``key``; a task holds a chunk and one key."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
         if sum(b.num_rows for b in held) < CHUNK_ROWS or held[0].column(key)[0] == batch.column(key)[-1]:
             continue
@@ -105,10 +142,16 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.T
         keys = table.column(key).combine_chunks()
         last = keys[-1].as_py()
         tail = pc.sum(pc.is_null(keys) if last is None else pc.equal(keys, last)).as_py()
-        yield from work(table.slice(0, table.num_rows - tail)).to_batches()
+        yield table.slice(0, table.num_rows - tail)
         held = table.slice(table.num_rows - tail).to_batches()
     if held:
-        yield from work(pa.Table.from_batches(held)).to_batches()
+        yield pa.Table.from_batches(held)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, work: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """``work`` over tables that hold each key whole (:func:`key_chunks`)."""
+    for table in key_chunks(batches, key):
+        yield from work(table).to_batches()
 
 
 def codes(column: pa.ChunkedArray) -> np.ndarray:
@@ -118,7 +161,7 @@ def codes(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def walk_arrays(line: np.ndarray, at: np.ndarray, owner: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What :func:`nearest_other` finds, for arrays: the rows of the marks below and above each row, -1 where there is none."""
+    """What a walk each way finds: the rows of the marks below and above each row, -1 where there is none."""
     found = []
     for sign in (1, -1):
         order = np.lexsort((probe, sign * at, line))

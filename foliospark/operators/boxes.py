@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from foliospark.functions.geometry import CORNERS, box_area, box_iou, box_overlap_min, boxes_meet, half_up
-from foliospark.operators.asof import codes, nearest_other, walk_arrays, whole_keys
+from foliospark.operators.asof import codes, near_marks, walk_arrays, whole_keys
 from foliospark.operators.order import assign_reading_order, bubble_numbers, nth_free
 from foliospark.operators.quadtree import CELL, CELL_ROOM, in_cell, quad_cells
 from foliospark.operators.suppress import FOLD_LIMIT, greedy_keep, iou_above
-from foliospark.session import cut_lineage
-from foliospark.skew import GROUP_LIMIT, hot_keys, names, needed_limit, number_rows, same_key, split_hot
+from foliospark.session import cut_lineage, stored
+from foliospark.skew import GROUP_LIMIT, HOT_KEYS_LITERAL, hot_keys, names, needed_limit, number_rows, same_key, split_hot
 
 # Bubble types and merge modes.
 BUBBLE_TYPES = ("speech", "thought", "sfx", "narration")
@@ -256,38 +256,41 @@ def snap_to_edges(
 
     hot = hot_keys(rows, ["_page"], limit)
     if hot is None:
-        snapped = cold(rows)
+        snapped = cold(rows).select("_row.*", "_ox", "_oy")
+    elif hot.limit(HOT_KEYS_LITERAL + 1).count() > HOT_KEYS_LITERAL:
+        # Slices hold pages of any size; setting the others apart would move all rows twice.
+        snapped = _snapped_slices(moved, boxes, pages, threshold, page, box, number)
     else:
-        few, many = split_hot(rows, ["_page"], hot)
-        snapped = cold(few).unionByName(_snapped_slices(cut_lineage(many), threshold, number))
+        many = [split_hot(df, [page], hot)[1] for df in (moved, boxes, pages)]
+        few = cold(split_hot(rows, ["_page"], hot)[0]).select("_row.*", "_ox", "_oy")
+        snapped = few.unionByName(_snapped_slices(*many, threshold, page, box, number))
     x, y = (F.coalesce(F.col(f"_o{a}"), F.col(f"{a}1")).cast(moved.schema[f"{a}1"].dataType) for a in "xy")
-    snapped = snapped.select("_row.*", "_ox", "_oy")
     return snapped.withColumns({"x1": x, "y1": y, "x2": x + F.col("x2") - F.col("x1"), "y2": y + F.col("y2") - F.col("y1")}
                                ).select(*moved.columns)
 
 
-def _snapped_slices(rows: DataFrame, threshold: int, number: str) -> DataFrame:
-    """Origins of the moved boxes of very large pages."""
-    # Rows need no id of their own: the number is fixed by the caller's checkpoint and lives in this step only.
-    rows = cut_lineage(rows.withColumn("_n", F.monotonically_increasing_id()))
-
-    def event(axis: str, kind: int) -> Column:
-        lead, trail = F.col(f"_{axis}1"), F.col(f"_{axis}2")
-        return F.struct(F.lit(axis).alias("_axis"), F.lit(kind).alias("_kind"), (trail if kind else lead).alias("_at"),
-                        (trail - lead).alias("_size"))
-
-    events = rows.select("_page", "_owner", "_n", F.col("_row").isNotNull().alias("_probe"),
-                         F.inline(F.array(*[event(a, k) for a in "xy" for k in (0, 1)])))
-    events = events.where("_page is not null and not (_probe and (_owner is null or _size is null))")
-    found = nearest_other(events, "_page", "_axis", at="_at", owner="_owner", probe="_probe", limit=0)
-
-    def hit(mark: str) -> Column:
-        gap, origin = F.abs(F.col(mark) - F.col("_at")), F.col(mark) - F.col("_kind") * F.col("_size")
-        return F.when(gap <= threshold, F.struct(gap.alias("gap"), "_kind", F.col(mark).alias("at"), origin.cast(number).alias("origin")))
-
-    nearer = found.withColumn("_hit", F.least(hit("below"), hit("above"))).where("_hit is not null")
-    best = nearer.groupBy("_n").agg(*[F.min(F.when(F.col("_axis") == a, F.col("_hit"))).alias(f"_s{a}") for a in "xy"])
-    return rows.where("_row is not null").join(best, "_n", "left").select("_row", F.col("_sx.origin").alias("_ox"), F.col("_sy.origin").alias("_oy"))
+def _snapped_slices(moved: DataFrame, boxes: DataFrame, pages: DataFrame, threshold: int, page: str, box: str, number: str) -> DataFrame:
+    """``moved`` with the origins its boxes snap to, for pages of any size."""
+    # Rows need no id of their own: the number is fixed where it is stored and lives in this step only.
+    moved = stored(moved.withColumn("_n", F.monotonically_increasing_id()))
+
+    def events(df: DataFrame, owner: Column, n: Column, corners: dict[str, Column], known: str = "true") -> DataFrame:
+        edges = F.array(*[F.struct(F.lit(a).alias("_axis"), F.lit(k).alias("_kind"), corners[f"{c}{k + 1}"].cast(number).alias("_at"))
+                          for a, c in enumerate("xy") for k in (0, 1) if known == "true" or c == known])
+        return df.select(F.col(page).alias("_page"), owner.alias("_owner"), n.alias("_n"), F.inline(edges))
+
+    at, nobody = {c: F.col(c) for c in CORNERS}, F.lit(None).cast("long")
+    edge = {"x1": F.lit(0), "y1": F.lit(0), "x2": F.col("w"), "y2": F.col("h")}
+    # A page is a box of nobody.
+    rows = events(boxes, F.col(box), nobody, at).unionByName(events(pages, F.lit(None).cast(boxes.schema[box].dataType), nobody, edge))
+    for c in "xy":
+        whole = moved.where(F.col(box).isNotNull() & F.col(f"{c}1").isNotNull() & F.col(f"{c}2").isNotNull())
+        rows = rows.unionByName(events(whole, F.col(box), F.col("_n"), at, c))
+    found = near_marks(rows.where("_page is not null and _at is not null"), threshold, 4 * (moved.count() + boxes.count() + pages.count()))
+    hit = F.struct("_gap", "_kind", "_mark")
+    best = found.groupBy("_n").agg(*[F.min(F.when(F.col("_axis") == a, hit)).alias(f"_s{c}") for a, c in enumerate("xy")])
+    origin = [(F.col(f"_s{c}._mark") - F.col(f"_s{c}._kind") * (F.col(f"{c}2") - F.col(f"{c}1")).cast(number)).alias(f"_o{c}") for c in "xy"]
+    return moved.join(best, "_n", "left").select(*moved.drop("_n").columns, *origin)
 
 
 def overlap_pairs(

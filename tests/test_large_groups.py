@@ -1,5 +1,6 @@
 """Groups above the limits must give what small groups give, checked against plain Python."""
 
+import os
 import random
 
 import pytest
@@ -14,6 +15,7 @@ from foliospark.operators import suppress as S
 from foliospark.operators.layout import layout_pages, panel_manifest
 from foliospark.operators.quadtree import quad_cells
 from foliospark.operators.text import merge_text_lines
+from foliospark.session import checkpoint_folder
 from foliospark.skew import in_parts, number_rows, prefix_scan
 
 SCHEMA = "page_id long, x1 int, y1 int, x2 int, y2 int, score int"
@@ -244,3 +246,22 @@ def test_cells_change_no_result(spark, room):
     small = B.new_boxes_only(new, old, by="page_id", limit=None)
     assert 0 < small.count() < new.count()
     assert rows(small) == rows(B.new_boxes_only(new, old, by="page_id", limit=4, room=room).select(*small.columns))
+
+
+def folder_bytes(spark):
+    path = checkpoint_folder(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+
+
+def test_snap_in_slices_writes_little(spark):
+    """Lines cut by slices snap as whole ones do: crowds of one owner, piles on one spot, lone marks far off."""
+    rng = random.Random(5)
+    data = [(p, b if p % 3 else b % 2, x, y, x + rng.randrange(1, 40), y + rng.randrange(1, 40)) for p in range(12) for b in range(400)
+            for x, y in [(rng.randrange(2000) if p % 2 else 40 * (b % 7 == 0), rng.randrange(4000))]]
+    data += [(20, 1, 5 * k, 7, 5 * k + 1, 9) for k in range(800)] + [(20, 2, 2000, 7, 2003, 9)]
+    boxes = spark.createDataFrame(data, "page_id int, box_id int, x1 int, y1 int, x2 int, y2 int")
+    pages = spark.createDataFrame([(p, 2500, 4500) for p in range(0, 25, 2)], "page_id int, w int, h int")
+    before = folder_bytes(spark)
+    cut = rows(B.snap_to_edges(boxes, boxes, pages, limit=6))
+    assert folder_bytes(spark) - before < 100 * len(data)
+    assert cut == rows(B.snap_to_edges(boxes, boxes, pages))
