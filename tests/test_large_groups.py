@@ -265,3 +265,19 @@ def test_snap_in_slices_writes_little(spark):
     cut = rows(B.snap_to_edges(boxes, boxes, pages, limit=6))
     assert folder_bytes(spark) - before < 100 * len(data)
     assert cut == rows(B.snap_to_edges(boxes, boxes, pages))
+
+
+def test_large_pages_are_derived_once(spark):
+    """Suppression stores the boxes of large pages before its tests name them: one more pass over what they derive from."""
+    seen = spark.sparkContext.accumulator(0)
+    data = [(p, 9 * b, 3 * p, 9 * b + 12, 3 * p + 5, b) for p in range(3) for b in range(40)]
+
+    def counted(batches):
+        for rows_ in batches:
+            seen.add(len(rows_))
+            yield rows_
+
+    boxes = spark.createDataFrame(data, SCHEMA)
+    assert rows(S.nms(boxes.mapInPandas(counted, boxes.schema), conf=None, limit=6)) == rows(S.nms(boxes, conf=None))
+    # Read twice for the counts of their pages, once to be stored, and once for the ordinary pages.
+    assert seen.value <= 4 * len(data)
