@@ -309,6 +309,8 @@ def overlap_pairs(
         return df.select(by, F.col(id).alias(f"{name}_id"), *[F.col(c).alias(f"{name}_{c}") for c in CORNERS], *cells)
 
     def met(slim: DataFrame, *cells: str) -> DataFrame:
+        # Dealt before the columns part, so that both sides may read one exchange.
+        slim = slim.repartition(by, *cells)
         joined = side(slim, "a", *cells).join(side(slim, "b", *cells), [by, *cells])
         return joined.where((F.col("a_id") < F.col("b_id")) & boxes_meet("a_", "b_"))
 
@@ -317,8 +319,11 @@ def overlap_pairs(
     if hot is None:
         pairs = met(slim)
     else:
-        cold, warm = split_hot(slim, [by], hot)
-        leaves = cut_lineage(quad_cells(warm, [by], room=room, finest=cell))
+        # One pass and one join tell the pages apart.
+        told = slim.join(hot.withColumn("_many", F.lit(True)), same_key(slim, [by], hot, hot.columns), "left").drop(*hot.columns)
+        told = stored(told)
+        cold, warm = told.where("_many is null").drop("_many"), told.where("_many").drop("_many")
+        leaves = quad_cells(warm, [by], room=room, finest=cell)
         home = [in_cell(x, F.greatest(f"a_{x}1", f"b_{x}1")) for x in "xy"]
         pairs = met(cold).unionByName(met(leaves, *CELL).where(home[0] & home[1]).drop(*CELL))
     return (pairs.withColumn("overlap", measure("a_", "b_")).where(F.col("overlap") > threshold)

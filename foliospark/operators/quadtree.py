@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.geometry import CORNERS
-from foliospark.session import cut_lineage
+from foliospark.session import cut_lineage, stored
 from foliospark.skew import same_key
 
 # Boxes with their centre in a cell from which it is cut.
@@ -42,7 +42,7 @@ def quad_cells(df: DataFrame, by: Sequence[str], *, room: int = CELL_ROOM, fines
     page lies in one leaf.  Only crowded cells go on to the next round; there are as many rounds as the tree is deep.
     Boxes with a null corner are in no cell.
     """
-    df = cut_lineage(df.where(" and ".join(f"{c} is not null" for c in CORNERS)))
+    df = stored(df.where(" and ".join(f"{c} is not null" for c in CORNERS)))
     reach = df.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in CORNERS]))).first()[0]
     side = 2.0 ** math.ceil(math.log2(reach + 1)) if reach is not None else 1.0
     at = [*by, "_gx", "_gy"]
@@ -59,9 +59,11 @@ def quad_cells(df: DataFrame, by: Sequence[str], *, room: int = CELL_ROOM, fines
             break
         crowded = crowded.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(at)])
         cond = same_key(current, at, crowded, crowded.columns)
-        leaves.append(current.join(crowded, cond, "left_anti"))
+        # One join tells leaves from cells to cut.
+        told = stored(current.join(crowded.withColumn("_cut", F.lit(True)), cond, "left").drop(*crowded.columns))
+        leaves.append(told.where("_cut is null").drop("_cut"))
         side /= 2
-        current = cut_lineage(touched(current.join(crowded, cond, "left_semi"), side, nested=True).withColumn("_side", F.lit(side)))
+        current = touched(told.where("_cut").drop("_cut"), side, nested=True).withColumn("_side", F.lit(side))
     out = leaves[0]
     for leaf in leaves[1:]:
         out = out.unionByName(leaf)

@@ -281,3 +281,19 @@ def test_large_pages_are_derived_once(spark):
     assert rows(S.nms(boxes.mapInPandas(counted, boxes.schema), conf=None, limit=6)) == rows(S.nms(boxes, conf=None))
     # Read twice for the counts of their pages, once to be stored, and once for the ordinary pages.
     assert seen.value <= 4 * len(data)
+
+
+def test_pairs_of_large_pages_derive_boxes_once(spark):
+    """Boxes are counted, then joined with the large pages and stored; ordinary pages and cells read what is stored."""
+    seen = spark.sparkContext.accumulator(0)
+    data = [(p, 10 * p + b, 9 * b, 9 * b % 50, 9 * b + 12, 60) for p in range(4) for b in range(3 + 20 * (p % 2))]
+    boxes = spark.createDataFrame(data, "page_id int, det_id int, x1 int, y1 int, x2 int, y2 int")
+
+    def counted(batches):
+        for rows_ in batches:
+            seen.add(len(rows_))
+            yield rows_
+
+    found = rows(B.overlap_pairs(boxes.mapInPandas(counted, boxes.schema), threshold=0.05, limit=6, room=4))
+    assert found == rows(B.overlap_pairs(boxes, threshold=0.05)) and len(found) > 40
+    assert seen.value <= 3 * len(data)
