@@ -195,3 +195,11 @@ def test_edit_distance():
     long = "".join(rng.choice("abcdef ") for _ in range(500))
     edited = "".join(rng.choice(("", "x", c + "y")) if rng.random() < 0.1 else c for c in long)
     assert edit_distance(long, edited) == plain(long, edited)
+
+
+def test_frequent_words_come_from_all_documents(spark):
+    """A word of many lines counts as frequent wherever its documents lie; each of these lies outside a fiftieth by hash."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('common a', id, ' b', id, ' c', id, ' d', id) AS text")
+    docs = docs.where("pmod(xxhash64(doc_id), 50) <> 0")
+    common = lines._plain_words([b"common"])[1]
+    assert lines._frequent(docs, 5).tolist() == common.tolist()
