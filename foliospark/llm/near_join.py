@@ -111,7 +111,11 @@ def prefix(one: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarra
 
 
 def _postings(words: int, percent: int, sketch):
-    """(token, doc, meta) for the prefix of every text; meta packs set size, frequent tokens, required matches and the token's level."""
+    """(token, doc, meta) for the prefix of every text.
+
+    meta packs the set's size (31 bits) and four bytes: the share of frequent tokens, the token's place in the single-match
+    prefix, the matches required and the token's level.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -120,10 +124,11 @@ def _postings(words: int, percent: int, sketch):
             for doc, one in zip(batch.column("doc_id").to_pylist(), shingles(texts, words)):
                 if len(one):
                     head, single, matches, frequent = prefix(one, counts, percent)
-                    level = np.maximum(np.arange(len(head)) - single + 2, 1)
+                    place = np.arange(len(head))
+                    level = np.maximum(place - single + 2, 1)
                     tokens.append(head.view(np.int64))
                     docs.append(np.full(len(head), doc, np.int64))
-                    metas.append((len(one) << 32) + (min(frequent, 65535) << 16) + (matches << 8) + np.minimum(level, 255))
+                    metas.append((len(one) << 32) + (255 * frequent // len(one) << 24) + (np.minimum(255 * place // single, 255) << 16) + (matches << 8) + np.minimum(level, 255))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, docs, metas)], names=["token", "doc", "meta"])
 
@@ -222,8 +227,26 @@ def _short_candidates(met: DataFrame, long: DataFrame, percent: int) -> DataFram
     return pairs.where(enough).select("a", "b").distinct()
 
 
-# The leader of a list is the document with most frequent tokens in its prefix: of near copies the one with fewest changes.
-_LEADER = "min(struct(65535 - (shiftright(meta, 16) & 65535) as rarity, doc, meta))"
+def _first_met(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups whose first common token, in the order of the prefixes, leaves enough tokens behind it.
+
+    Similar sets share a token of both single-match prefixes, and all they share stands at or behind the first one.  So
+    rows with a token further behind are not needed: the pair comes out of the list of its first token.
+    """
+    sides = [side.where("(meta & 255) = 1") for side in (left, right)]
+    for k, (doc, own) in enumerate((("a", "na"), ("b", "nb"))):
+        size = F.shiftright("meta", 32)
+        single = size - F.ceil(size * percent / 100) + 1
+        behind = size - F.floor(F.expr("(meta >> 16) & 255") * single / 255)
+        sides[k] = sides[k].withColumn(own, size).withColumn(f"t{doc}", behind).withColumn(f"m{doc}", F.expr("(meta >> 8) & 255")).drop("meta")
+    possible = "least(ia, ib) >= least(ma, mb)"
+    enough = f"{100 + percent} * least(ta, tb) >= {percent} * (na + nb)"
+    met = sides[0].join(sides[1], "token").where(f"ga <> gb and (gb = major or a < b) and {possible} and {enough}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+# The leader of a list is the document with most frequent tokens for its size: of near copies the one with fewest changes.
+_LEADER = "min(struct(255 - (shiftright(meta, 24) & 255) as rarity, doc, meta))"
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -238,8 +261,9 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     an inverted index.  A pair is verified if it shares as many prefix tokens as the less demanding of both documents asks for.
     Lists of at most ``SHORT_LIST`` documents give all their pairs, and what those may share in longer lists is bounded by each
     one's tokens there; other pairs have all their shared tokens in longer lists.  The longer lists' members are first compared with the one that has most frequent tokens; only members of different groups are
-    paired after that, those outside the list's largest group with all.  So a group of many near copies costs its size,
-    not its square, and no pair of different groups is skipped.
+    paired after that, those outside the list's largest group with all, where the list's token can be the first they share and
+    enough tokens are left behind it.  So a group of many near copies costs its size, not its square, and no pair of different
+    groups that could link is skipped.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -289,11 +313,9 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     held = placed.join(major, "token")
     tokens = held.groupBy("doc").agg(F.count(F.lit(1)).alias("inside"))
     mixed = cut_lineage(held.join(tokens, "doc"))
-    left = mixed.where("grp <> major").select("token", F.col("doc").alias("a"), F.col("grp").alias("ga"), F.col("meta").alias("ma"), F.col("inside").alias("ia"))
-    right = mixed.select("token", F.col("doc").alias("b"), F.col("grp").alias("gb"), F.col("meta").alias("mb"), F.col("inside").alias("ib"), "major")
-    possible = "least(ia, ib) >= least((ma >> 8) & 255, (mb >> 8) & 255)"
-    met = left.join(right, "token").where(f"ga <> gb and (gb = major or a < b) and {possible}")
-    pairs = _candidates(_met(met, "a", "ma", "b", "mb"), percent)
+    left = mixed.where("grp <> major").select("token", F.col("doc").alias("a"), F.col("grp").alias("ga"), "meta", F.col("inside").alias("ia"))
+    right = mixed.select("token", F.col("doc").alias("b"), F.col("grp").alias("gb"), "meta", F.col("inside").alias("ib"), "major")
+    pairs = _first_met(left, right, percent)
     links = links.unionByName(_verified(pairs, sets, percent))
     groups = components(links)
     out = rows.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -61,6 +61,25 @@ def test_near_groups_bridge(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_near_groups_far_copies(spark, monkeypatch):
+    """Copies with too many edits share frequent tokens with all of a family; only near misses may be paired with its members."""
+    paired, candidates, verified = [], near_join._candidates, near_join._verified
+    monkeypatch.setattr(near_join, "_candidates", lambda met, percent: (paired.append(met.count()), candidates(met, percent))[1])
+    monkeypatch.setattr(near_join, "_verified", lambda pairs, *more: (paired.append(pairs.count()), verified(pairs, *more))[1])
+    rng, rows = random.Random(11), []
+    for doc in range(150):
+        words = [f"w{i}" for i in range(100)]
+        for at in rng.sample(range(100), rng.choice((2, 4, 22, 22)) if doc < 140 else rng.randint(8, 12)):
+            words[at] = f"x{doc}x{at}"
+        rows.append((doc, " ".join(words)))
+    got = near_join.near_groups(frame(spark, rows).coalesce(1), words=1).collect()
+    want = near_join.near_groups_brute(rows, words=1)
+    assert len({label for _, _, label in want}) > 30
+    assert sorted(map(tuple, got)) == sorted(want)
+    # No step makes more rows than the first, which sets every member of the long lists beside one leader.
+    assert max(paired) == paired[1]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
