@@ -51,6 +51,18 @@ def _counted(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[first], np.diff(np.append(first, len(found))).astype(np.float64)
 
 
+def _packed(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps between the buckets of a text and their counts, in the fewest bytes that hold them all."""
+    gaps = np.diff(found, prepend=0)
+    return gaps.astype(np.min_scalar_type(int(gaps.max()))), counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def _unpacked(gaps: np.ndarray, counts: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their values: ratio times count, by the length of the vector of counts)."""
+    found, counts = np.cumsum(gaps, dtype=np.int64), counts.astype(np.float64)
+    return found, (ratio[found] * counts / np.sqrt((counts * counts).sum())).astype(np.float32)
+
+
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shares of the n-grams in each text, summed per class: clean in the first half of the vector, toxic in the second."""
     total = np.zeros(2 << BITS)
@@ -65,7 +77,10 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _fitted(ratio):
-    """One row (weights, intercept): logistic regression by adaptive gradient steps, in a fixed order of the rows."""
+    """One row (weights, intercept): logistic regression by adaptive gradient steps, in a fixed order of the rows.
+
+    The rows are held packed, about three bytes for a bucket; their values are computed anew in each pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, rows = ratio.value, []
@@ -73,14 +88,15 @@ def _fitted(ratio):
             for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
                 found, counts = _counted(grams(text))
                 if len(found):
-                    rows.append((doc, toxic, found, (r[found] * counts / np.sqrt((counts * counts).sum())).astype(np.float32)))
+                    rows.append((doc, toxic, *_packed(found, counts)))
         rows.sort(key=lambda row: (row[0], row[1], len(row[2])))
         weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
         intercept, intercept_seen = 0.0, 1e-6
         order = np.random.default_rng(7)
         for _ in range(PASSES):
             for i in order.permutation(len(rows)):
-                _, toxic, found, scaled = rows[i]
+                _, toxic, gaps, counts = rows[i]
+                found, scaled = _unpacked(gaps, counts, r)
                 score = float(weights[found] @ scaled) + intercept
                 slope = (1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - toxic) * (TOXIC_WEIGHT if toxic else 1.0)
                 step = slope * scaled + SHRINK * weights[found]

@@ -86,6 +86,21 @@ def test_components(spark):
     assert found == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100}
 
 
+@pytest.mark.parametrize("block", [10, 1000])
+def test_components_of_blocks(spark, monkeypatch, block):
+    """Edges of one block are joined without rounds, those of several in rounds over the blocks' forests."""
+    from foliospark.llm import components as module
+
+    rounds, small = [], module._small
+    monkeypatch.setattr(module, "_small", lambda edges: (rounds.append(1), small(edges))[1])
+    monkeypatch.setattr(module, "BLOCK", block)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (None, 3), (7, 7)]
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert found == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100}
+    assert bool(rounds) == (block == 10)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 @pytest.mark.parametrize("limit", [lines.SMALL_FORMS, 1])
 def test_drop_repeated(spark, monkeypatch, limit):
     monkeypatch.setattr(lines, "SMALL_FORMS", limit)
@@ -168,6 +183,20 @@ def test_toxicity(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_toxicity_rows_are_packed():
+    """A text of the sample is held in at most half of the eight bytes a bucket it took, and its values come back unchanged."""
+    rng = random.Random(3)
+    ratio = toxicity.np.random.default_rng(1).normal(size=1 << toxicity.BITS)
+    for text in [" ".join(f"w{rng.randrange(3000)}" for _ in range(600)), "a" * 70_000, "abc", "vile scum"]:
+        found, counts = toxicity._counted(toxicity.grams(text))
+        packed = toxicity._packed(found, counts)
+        got, values = toxicity._unpacked(*packed, ratio)
+        assert got.tolist() == found.tolist()
+        assert values.tolist() == (ratio[found] * counts / toxicity.np.sqrt((counts * counts).sum())).astype("float32").tolist()
+        if len(found) > 1000:
+            assert sum(x.nbytes for x in packed) <= 4 * len(found)
+
+
 def test_toxicity_held_out(spark):
     """Accuracy on the rows that were not trained on: 825, of which 97 are toxic."""
     folder = "/root/testdata/sf0.1"
