@@ -251,3 +251,47 @@ def test_frequent_words_come_from_all_documents(spark):
     docs = docs.where("pmod(xxhash64(doc_id), 50) <> 0")
     common = lines._plain_words([b"common"])[1]
     assert lines._frequent(docs, 5).tolist() == common.tolist()
+
+
+def test_near_pairs():
+    """Bounds and distances of many pairs at once say the same as the distance of each pair."""
+    rng = random.Random(5)
+    for letters, low, high in (("abé字", 1, 14), ("ab", 60, 70), ("".join(map(chr, range(0x4E00, 0x9000))), 1, 150), ("abcdefgh ", 100, 300)):
+        ta = ["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(150)]
+        tb = ["".join(rng.choice(("", c, c, c, c, c + "a")) for c in a) or "x" for a in ta]
+        ta, tb = ta + ["a" + "b" * 40, "xa", "a" * 30], tb + ["b" * 40, "a", "b" * 30]
+        want = lines.np.array([lines.edit_distance(a, b) for a, b in zip(ta, tb)])
+        assert (lines.edit_distances(ta, tb) == want).all()
+        for edits in (want, want - 1, lines.np.array([max(len(a), len(b)) // 5 for a, b in zip(ta, tb)])):
+            edits = lines.np.maximum(edits, 0)
+            assert (lines._near(ta, tb, edits) == (want <= edits)).all()
+
+
+def test_bundles_are_not_compared_again(spark):
+    """What the lead of a key was compared with is no pair inside the bundle; a bundle of two has none."""
+    from foliospark.llm.components import bundle_pairs, led_pairs
+
+    members = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (2, 20, 0), (2, 21, 1), (2, 22, 1), (3, 30, 0), (3, 31, 9)], "key long, node long, size int")
+    close = "abs(a.size - b.size) <= 1"
+    found, bundles = led_pairs(members, close)
+    assert {tuple(sorted(p)) for p in found.collect()} == {(10, 11), (20, 21), (20, 22)}
+    none = spark.createDataFrame([], "node long, component long")
+    assert {tuple(sorted(p)) for p in bundle_pairs(bundles, none, close).collect()} == {(21, 22)}
+
+
+def test_brief_shuffles(spark):
+    """Shuffle files of a step are gone when it has ended, and the setting is as before."""
+    from pathlib import Path
+
+    from foliospark.session import brief_shuffles, cut_lineage
+
+    def files() -> set:
+        root = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+        return set(root.rglob("shuffle_*.data"))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, old = spark.conf.get(name), files()
+    with brief_shuffles(spark):
+        counts = cut_lineage(spark.range(1000).groupBy("id").count())
+        assert not files() - old
+    assert counts.count() == 1000 and spark.conf.get(name) == before
