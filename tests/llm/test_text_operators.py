@@ -295,3 +295,36 @@ def test_brief_shuffles(spark):
         counts = cut_lineage(spark.range(1000).groupBy("id").count())
         assert not files() - old
     assert counts.count() == 1000 and spark.conf.get(name) == before
+
+
+def test_lines_are_cut_in_small_parts():
+    """A task holds a few times ``CHUNK`` characters, however long the batch is; it was over 30 bytes a character of two million."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(12_000)]
+    batch = fm_index.pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    list(lines._counted(5)(iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    found = list(lines._counted(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.column("lines")[-1].as_py() for b in found if b.column("word")[-1].as_py() is None) == len(texts)
+    assert peak < 40e6
+
+
+def test_stages_send_short_batches(spark):
+    """A stage sends at most ``BATCH_ROWS`` whole texts at a time to a worker; fewer, if the session asks for that."""
+    from foliospark.llm import stages
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for asked, least in (("10000", stages.BATCH_ROWS), ("0", stages.BATCH_ROWS), ("70", 70)):
+            spark.conf.set(name, asked)
+            stages.drop_repeated_lines(spark, frame(spark, []).selectExpr("*", "'' AS source"), "")
+            sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda bs: (fm_index.pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+            assert max(r.n for r in sizes.collect()) == least
+    finally:
+        spark.conf.set(name, before)
