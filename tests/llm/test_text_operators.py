@@ -328,3 +328,29 @@ def test_stages_send_short_batches(spark):
             assert max(r.n for r in sizes.collect()) == least
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("cell, blocks", [(256, 8), (4, 100), (4, 1)])
+def test_lines_of_a_common_key(spark, monkeypatch, cell, blocks):
+    """Texts move once for a line of a key and cell, not once for a pair, whether a key is one cell, some blocks, or more."""
+    rng = random.Random(12)
+
+    def word() -> str:
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([5, 6, 7])))
+
+    def line(start: str) -> str:
+        return f"{start} {' '.join(word() for _ in range(3))}"
+
+    kept = [line("gathering yesterday evening") for _ in range(40)]
+    family = [line("something different altogether") for _ in range(2)]
+    rows = list(enumerate(kept)) + [(100 + i, family[i % 2][:-1] + chr(97 + i)) for i in range(24)]
+    rows += [(200, kept[7] + "x"), (201, family[0] + "!"), (202, None)]
+    monkeypatch.setattr(lines, "CELL", cell)
+    monkeypatch.setattr(lines, "BLOCKS", blocks)
+    sent, dealt = [], lines.in_cells
+    monkeypatch.setattr(lines, "in_cells", lambda rows: ("line" in rows.columns and sent.append(rows.count()), dealt(rows))[1])
+    got = dict(map(tuple, lines.drop_repeated(frame(spark, rows)).select("doc_id", "text").collect()))
+    assert got == dict(lines.drop_repeated_brute(rows))
+    assert sum(text == "" for text in got.values()) >= 24
+    pairs = 40 * 39 // 2
+    assert sum(sent) < pairs / 2 if cell == 256 else sent
