@@ -354,3 +354,18 @@ def test_lines_of_a_common_key(spark, monkeypatch, cell, blocks):
     assert sum(text == "" for text in got.values()) >= 24
     pairs = 40 * 39 // 2
     assert sum(sent) < pairs / 2 if cell == 256 else sent
+
+
+def test_line_dedup_leaves_no_files(spark):
+    """What the steps store goes with them, so that a later stage finds the disk as it was."""
+    from pathlib import Path
+
+    from foliospark.session import checkpoint_folder
+
+    def files() -> set:
+        return set(Path(checkpoint_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    before = files()
+    rows = [(i, f"the same line of several words stands here\nand another one of number {i} {i * 7}") for i in range(20)]
+    assert lines.drop_repeated(frame(spark, rows)).where("n_removed > 0").count() >= 19
+    assert not files() - before
